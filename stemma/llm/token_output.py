@@ -12,6 +12,7 @@ tokens' hash; long texts become blocks of their own; an empty table gives no blo
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from .common import scratch_dir, ship, stage, text_bytes
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 18
 #: Chunks that a worker remembers; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
 
@@ -71,6 +72,7 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.marked = os.path.commonprefix(self.special) or b" "
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -81,30 +83,38 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, chunks: list[bytes]) -> None:
-        easy, parts, hard = [], [], []
+        """Remembers chunks. A piece is remembered too: as a chunk of its own it would be encoded alike."""
+        known, made, need, hard = self.known, [], {}, []
         for c in chunks:
-            text = c.decode()
-            if self.simple.fullmatch(text) and not any(s in c for s in self.special):
-                easy.append(c)
-                parts.append(self.pieces.findall(text.lower()))
+            low = c.lower()
+            if low.isalpha():
+                parts = [low]
+            elif low[:-1].isalpha() and low[-1:] in b",.!?;:)|#*$%&":
+                parts = [low[:-1], low[-1:]]
             else:
-                hard.append(c)
-        if hard:
-            for c, e in zip(hard, self.whole.encode_batch([c.decode() for c in hard], add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, self.kind).tobytes()
-        if not easy:
-            return
-        distinct = list(dict.fromkeys(p for ps in parts for p in ps))
-        ids = {}
+                text = c.decode()
+                if not self.simple.fullmatch(text) or any(s in c for s in self.special):
+                    hard.append(c)
+                    continue
+                parts = [p.encode() for p in self.pieces.findall(text.lower())]
+            made.append((c, parts))
+            for p in parts:
+                if p not in known:
+                    need[p] = None
+        distinct = list(need)
         for at in range(0, len(distinct), 20_000):
             some = distinct[at : at + 20_000]
-            e = self.bare.encode(" ".join(p.encode().decode("latin-1").translate(self.letters) for p in some), add_special_tokens=False)
+            e = self.bare.encode(" ".join(p.decode() if p.isalpha() else p.decode("latin-1").translate(self.letters) for p in some), add_special_tokens=False)
             flat = np.array(e.ids, self.kind)
             ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1))
             for p, a, b in zip(some, ends[:-1].tolist(), ends[1:].tolist()):
-                ids[p] = flat[a:b].tobytes()
-        for c, ps in zip(easy, parts):
-            self.known[c] = ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps])
+                known[p] = flat[a:b].tobytes()
+        for c, parts in made:
+            if len(parts) > 1 or c != parts[0]:
+                known[c] = b"".join([known[p] for p in parts])
+        if hard:
+            for c, e in zip(hard, self.whole.encode_batch([c.decode() for c in hard], add_special_tokens=False), strict=True):
+                known[c] = np.array(e.ids, self.kind).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, as bytes of self.kind."""
@@ -114,7 +124,8 @@ class WordEncoder:
         while at < len(texts):
             some, size = [], 0
             while at < len(texts) and size < 1 << 22:
-                some.append(texts[at].split())
+                text = texts[at]
+                some.append((text if self.marked in text else text.lower()).split())  # special tokens are told by case
                 size += len(texts[at])
                 at += 1
             missing = set().union(*some).difference(self.known)
