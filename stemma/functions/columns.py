@@ -128,3 +128,42 @@ def words(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), F.lit(0.0))
+
+
+def reliable(score: Column, coverage: Column, critical: Column) -> Column:
+    """The score drawn to one half where its signals are thin."""
+    return clip(0.5 + (score - 0.5) * clip(0.45 * coverage + 0.55 * critical, 0.2, 1.0))
+
+
+def weighted_mean(signals: dict[str, Column], weights: dict[str, float], default: float = 0.5) -> Column:
+    """Over the signals that are there; default without any."""
+    total = sum((F.when(s.isNotNull(), weights[k]).otherwise(0.0) for k, s in signals.items()), F.lit(0.0))
+    return F.when(total > 0, sum((F.coalesce(s * weights[k], F.lit(0.0)) for k, s in signals.items()), F.lit(0.0)) / total).otherwise(default)
+
+
+def geometric_score(signals: dict[str, Column], weights: dict[str, float], support: Column, shift: float = 0.05) -> Column:
+    logs = sum((weights[k] * F.log(clip(s) + shift) for k, s in signals.items()), F.lit(0.0))
+    return (F.exp(logs) - shift) * (0.85 + 0.15 * support)
+
+
+def ramp(x: Column, low: float, at_low: float, high: float, at_high: float) -> Column:
+    """at_low up to low, at_high from high on, a straight line between."""
+    return F.when(x <= low, at_low).when(x >= high, at_high).otherwise(at_low + (x - low) / (high - low) * (at_high - at_low))
+
+
+def order_of(older: Column, newer: Column) -> Column:
+    """How the dates of a citation stand to each other."""
+    return F.when(older.isNull() | newer.isNull(), "unknown_time").when(older < newer, "forward").when(older > newer, "time_inverted").otherwise("same_time")
+
+
+def first_gap(checks: dict[str, Column], done: str) -> Column:
+    """The name of the first check that does not hold, in the order given."""
+    out = F.lit(done)
+    for name, ok in reversed(checks.items()):
+        out = F.when(~F.coalesce(ok, F.lit(False)), name).otherwise(out)
+    return out
+
+
+def gaps(checks: dict[str, Column]) -> Column:
+    """The names of all checks that do not hold."""
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks.items()]))

@@ -197,3 +197,48 @@ def lineages(edges: DataFrame, labels: DataFrame) -> DataFrame:
     top = n.withColumn("total", F.sum("support").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("support"), "parent"))).filter("_r = 1").drop("_r")
     top = top.withColumn("strength", F.col("support") / F.col("total")).withColumn("confidence", F.least(F.lit(1.0), F.col("strength") * F.when(F.col("support") >= 8, 1.0).otherwise(0.75)))
     return top.withColumn("status", F.when((F.col("support") >= 8) & (F.col("confidence") >= 0.30), "evidence_backed_split").when(F.col("support") >= 3, "weak_split_candidate").otherwise("layout_cluster_only"))
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(node, other) of directed edges (src, dst), both ways, each once, without loops."""
+    e = edges.filter("src <> dst")
+    return e.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(e.select("dst", "src")).distinct()
+
+
+def expand(edges: DataFrame, seeds: DataFrame, scores: DataFrame, most: int) -> DataFrame:
+    """Nodes one step from the seeds (node), without them; the `most` best of scores (node, score) are the feature asked for."""
+    found = neighbours(edges).join(seeds, "node", "left_semi").select(F.col("other").alias("node")).distinct().join(seeds, "node", "left_anti")
+    return found.join(scores, "node", "left").orderBy(F.desc_nulls_last("score"), "node").limit(most)
+
+
+def hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(node, hops): least steps from any seed (node) along either direction, up to depth."""
+    ensure_checkpoints(edges.sparkSession)
+    both = neighbours(edges).checkpoint()
+    seen = seeds.select("node").distinct().withColumn("hops", F.lit(0))
+    front = seen.select("node")
+    for step in range(1, depth + 1):
+        front = both.join(front, "node", "left_semi").select(F.col("other").alias("node")).distinct().join(seen, "node", "left_anti").checkpoint()
+        seen = seen.union(front.withColumn("hops", F.lit(step)))
+    return seen
+
+
+def ways(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(seed, node, ways): the number of walks of up to depth edges (src, dst) from each seed (node); counted, never listed."""
+    e = edges.select("src", "dst")
+    front = seeds.select(F.col("node").alias("seed"), F.col("node").alias("src"), F.lit(1).cast("long").alias("ways"))
+    total = None
+    for _ in range(depth):
+        front = front.join(e, "src").groupBy("seed", F.col("dst").alias("src")).agg(F.sum("ways").alias("ways"))
+        total = front if total is None else total.union(front)
+    return total.groupBy("seed", F.col("src").alias("node")).agg(F.sum("ways").alias("ways"))
+
+
+def local_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:
+    """(node, rank) on the seeds (node) and their neighbours; weight that leaves them goes to a sink, which is then dropped."""
+    core = neighbours(edges).join(seeds, "node", "left_semi").select(F.col("other").alias("node")).union(seeds.select("node")).distinct()
+    out = edges.join(core.withColumnRenamed("node", "src"), "src", "left_semi")
+    inside = core.select(F.col("node").alias("dst"), F.lit(True).alias("_in"))
+    sunk = out.join(inside, "dst", "left").select("src", F.when(F.col("_in"), F.col("dst")).otherwise(F.lit(-1)).alias("dst"), "weight")
+    ranks = pagerank(sunk.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), damping, rounds=rounds).filter("node <> -1")
+    return ranks.crossJoin(F.broadcast(ranks.agg(F.sum("rank").alias("_t")))).select("node", (F.col("rank") / F.col("_t")).alias("rank"))

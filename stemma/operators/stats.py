@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import ensure_checkpoints
+
 
 def ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """df with _i, the 0-based rank of value in its group, and _n, the group's size; nulls go."""
@@ -65,3 +69,64 @@ def auc_by(df: DataFrame, key: str, y: str, score: str) -> DataFrame:
     r = df.withColumn("_r", low + (same - 1) / 2.0)
     g = r.groupBy(key).agg(F.sum(F.when(F.col(y) == 1, F.col("_r"))).alias("rs"), F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(y) == 0, 1).otherwise(0)).alias("q"))
     return g.filter("p > 0 and q > 0").select(key, ((F.col("rs") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
+
+
+def order_statistic(df: DataFrame, value: str, q: float, least: float | None = None) -> float | None:
+    """The value at index int(q * (n - 1)) of the whole column sorted, at least `least`; None without values.
+
+    An approximate quantile brackets it, so that only the values within the bracket meet in one task, counted by value.
+    """
+    v = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
+    n = v.count()
+    if not n:
+        return None
+    slack = max(2e-5, 2 / n)
+    low, high = v.agg(F.percentile_approx("v", [max(0.0, q - slack), min(1.0, q + slack)], 100_000).alias("b")).first().b
+    below = v.filter(F.col("v") < low).count()
+    inside = v.filter(F.col("v").between(low, high)).groupBy("v").count()
+    reached = inside.withColumn("upto", F.sum("count").over(Window.orderBy("v"))).filter(F.col("upto") + below > math.floor(q * (n - 1)))
+    found = reached.agg(F.min("v").alias("v")).first().v
+    return found if least is None else max(found, least)
+
+
+def less_peers(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """df with the value less the mean of the other rows of its group; alone, the value itself."""
+    w = Window.partitionBy(*keys)
+    others = F.count(value).over(w) - 1
+    return df.withColumn(out, F.when(others > 0, F.col(value) - (F.sum(value).over(w) - F.col(value)) / others).otherwise(F.col(value)))
+
+
+def share_at_most(df: DataFrame, keys: list[str], value: str, alone: Column, out: str) -> DataFrame:
+    """df with the share of the other rows of its group whose value is at most its own."""
+    upto = F.count(value).over(Window.partitionBy(*keys).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)) - 1
+    others = F.count(value).over(Window.partitionBy(*keys)) - 1
+    return df.withColumn(out, F.when(others > 0, upto / others).otherwise(alone))
+
+
+def standard_score(df: DataFrame, value: str, out: str) -> DataFrame:
+    """df with the z-score of the value over all rows, population sigma."""
+    m = df.agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sigma"))
+    return df.crossJoin(F.broadcast(m)).withColumn(out, (F.col(value) - F.col("_mu")) / (F.col("_sigma") + 1e-9)).drop("_mu", "_sigma")
+
+
+def bradley_terry(games: DataFrame, prior: float = 0.1, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
+    """(item, strength) from games (winner, loser): minorise-maximise with `prior` wins each way against a player of strength 1.
+
+    Games are counted by pair once; each round joins the pairs with the strengths twice, so each round is checkpointed. Strengths stay positive, also of
+    items that always or never win.
+    """
+    ensure_checkpoints(games.sparkSession)
+    played = games.filter("winner <> loser")
+    both = played.select(F.col("winner").alias("item"), F.col("loser").alias("other"), F.lit(1).alias("won")).union(played.select("loser", "winner", F.lit(0)))
+    pairs = both.groupBy("item", "other").agg(F.count("*").alias("n"), F.sum("won").alias("won")).checkpoint()
+    wins = pairs.groupBy("item").agg(F.sum("won").alias("won"))
+    strength = wins.select("item", F.lit(1.0).alias("strength"))
+    for _ in range(rounds):
+        met = pairs.join(strength, "item").join(strength.select(F.col("item").alias("other"), F.col("strength").alias("theirs")), "other")
+        load = met.groupBy("item", "strength").agg(F.sum(F.col("n") / (F.col("strength") + F.col("theirs"))).alias("load"))
+        new = load.join(wins, "item").select("item", ((F.col("won") + prior) / (F.col("load") + 2 * prior / (F.col("strength") + 1))).alias("new"), "strength").checkpoint()
+        moved = new.agg(F.max(F.abs(F.log("new") - F.log("strength"))).alias("m")).first().m
+        strength = new.select("item", F.col("new").alias("strength"))
+        if moved is None or moved < tolerance:
+            break
+    return strength

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stemma.functions import columns as c
-from stemma.operators import graph, relational, search, stats
-from stemma.plans import catalog
+from stemma.operators import graph, relational, resolution, search, stats
+from stemma.plans import catalog, signals  # noqa: F401  (signals adds to the registry)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -95,3 +95,43 @@ def test_diverse_selection(spark):
     v = [(1, 1.0, [1.0, 0.0]), (2, 0.9, [1.0, 0.01]), (3, 0.5, [0.0, 1.0])]
     got = search.diverse(spark, spark.createDataFrame(v, "id long, s double, v array<float>"), "id", "s", "v", 2, 0.5).collect()
     assert [r.id for r in got] == [1, 3] and math.isfinite(got[0].pick)
+
+
+def test_bradley_terry(spark):
+    games = [("a", "b")] * 3 + [("b", "a")] + [("b", "c")] * 2 + [("a", "c")] + [("c", "c")]
+    strength = dict.fromkeys("abc", 1.0)
+    for _ in range(200):
+        new = {}
+        for i in strength:
+            mine = [g for g in games if i in g and g[0] != g[1]]
+            load = sum(1 / (strength[w] + strength[x]) for w, x in mine)
+            new[i] = (sum(w == i for w, _ in mine) + 0.1) / (load + 0.2 / (strength[i] + 1))
+        strength = new
+    df = spark.createDataFrame(games, "winner string, loser string")
+    got = {r["item"]: r.strength for r in stats.bradley_terry(df, rounds=60).collect()}
+    assert got == pytest.approx(strength, rel=1e-3)
+    assert stats.bradley_terry(df.limit(0)).count() == 0
+
+
+def test_order_statistic(spark):
+    values = [(i * 37) % 101 / 7 for i in range(1, 90)] + [3.0] * 11
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    for q in (0.0, 0.05, 0.5, 0.95, 1.0):
+        assert stats.order_statistic(df, "x", q) == sorted(values)[int(q * (len(values) - 1))]
+    assert stats.order_statistic(df.limit(0), "x", 0.5) is None
+    assert stats.order_statistic(df, "x", 0.0, 50.0) == 50.0
+
+
+def test_local_pagerank_leaves_the_sink_out(spark):
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (2, 3, 1.0), (3, 4, 5.0)], "src long, dst long, weight double")
+    got = {r.node: r.rank for r in graph.local_pagerank(edges, spark.createDataFrame([(1,)], "node long")).collect()}
+    assert set(got) == {1, 2} and sum(got.values()) == pytest.approx(1.0)
+
+
+def test_similar_sets_and_merged_hits(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["c", "b", "a"]), (3, ["a", "b", "c", "d"]), (4, ["x"]), (5, [])], "k long, s array<string>")
+    got = resolution.similar_token_sets(df, "k", F.col("s"), 0.75).collect()
+    assert [(r.a, r.b, r.similarity) for r in got] == [(1, 3, 0.75)]
+    lists = [spark.createDataFrame(rows, "id long, rank int") for rows in ([(1, 1), (2, 2)], [(3, 1), (2, 2)])]
+    merged = sorted((r.rank, r.id, r.mode) for r in resolution.merged_hits(*lists, "id", 10).collect())
+    assert merged == [(1, 1, "exact"), (2, 2, "exact+fuzzy"), (3, 3, "fuzzy")]
