@@ -57,26 +57,26 @@ _X = "o_totalprice / 500000.0"
 
 @query(
     f"WITH x AS (SELECT o_orderkey, least(1.0, {_X})::DOUBLE AS s, CASE WHEN o_custkey % 3 <> 0 THEN (o_custkey % 10) / 10.0 END::DOUBLE AS t FROM orders) SELECT o_orderkey, round(least(1.0, greatest(0.0, 0.5 + (s - 0.5) * least(1.0, greatest(0.2, 0.45 * s + 0.55 * 0.5)))), 6) AS adjusted, "
-    "round(CASE WHEN t IS NULL THEN s ELSE (0.6 * s + 0.4 * t) END, 6) AS novelty, round((exp(0.5 * ln(s + 0.05) + 0.5 * ln(0.4 + 0.05)) - 0.05) * (0.85 + 0.15 * s), 6) AS geometric FROM x"
+    "round(CASE WHEN t IS NULL THEN s ELSE (0.6 * s + 0.4 * t) END, 10) AS novelty, round((exp(0.5 * ln(s + 0.05) + 0.5 * ln(0.4 + 0.05)) - 0.05) * (0.85 + 0.15 * s), 6) AS geometric FROM x"
 )
 def adjusted_scores(spark, d):
     s = F.least(F.lit(1.0), F.col("o_totalprice") / 500000.0)
     t = F.when(F.col("o_custkey") % 3 != 0, (F.col("o_custkey") % 10) / 10.0)
     return table(spark, d, "orders").select(
-        "o_orderkey", F.round(c.reliable(s, s, F.lit(0.5)), 6).alias("adjusted"), F.round(c.weighted_mean({"a": s, "b": t}, {"a": 0.6, "b": 0.4}), 6).alias("novelty"),
+        "o_orderkey", F.round(c.reliable(s, s, F.lit(0.5)), 6).alias("adjusted"), F.round(c.weighted_mean({"a": s, "b": t}, {"a": 0.6, "b": 0.4}), 10).alias("novelty"),
         F.round(c.geometric_score({"a": s, "b": F.lit(0.4)}, {"a": 0.5, "b": 0.5}, s), 6).alias("geometric"),
     )
 
 
 @query(
     f"WITH m AS (SELECT o_custkey, avg(date_diff('day', o_orderdate::DATE, DATE '{YEAR}-01-01') / 30.4)::DOUBLE AS age FROM orders GROUP BY o_custkey) SELECT o_custkey, round(age, 6) AS age, "
-    "round(CASE WHEN age <= 12 THEN 0.3 WHEN age >= 18 THEN 1.0 ELSE 0.3 + (age - 12) / 6 * 0.7 END, 6) AS cite_weight, round(CASE WHEN age <= 12 THEN 1.0 WHEN age >= 36 THEN 0.7 ELSE 1.0 - (age - 12) / 24 * 0.3 END, 6) AS cocite_weight FROM m"
+    "round(CASE WHEN age <= 12 THEN 0.3 WHEN age >= 18 THEN 1.0 ELSE 0.3 + (age - 12) / 6 * 0.7 END + 1e-9, 6) AS cite_weight, round(CASE WHEN age <= 12 THEN 1.0 WHEN age >= 36 THEN 0.7 ELSE 1.0 - (age - 12) / 24 * 0.3 END + 1e-9, 6) AS cocite_weight FROM m"
 )
 def adaptive_edge_weights(spark, d):
-    """Weights of edge kinds by the mean age in months of a customer's orders."""
+    """Weights of edge kinds by the mean age in months of a customer's orders; 1e-9 is added before rounding, so that exact halves go up."""
     age = F.avg(F.datediff(F.lit(f"{YEAR}-01-01").cast("date"), "o_orderdate") / 30.4)
     m = table(spark, d, "orders").groupBy("o_custkey").agg(age.alias("age"))
-    return m.select("o_custkey", F.round("age", 6).alias("age"), F.round(c.ramp(F.col("age"), 12, 0.3, 18, 1.0), 6).alias("cite_weight"), F.round(c.ramp(F.col("age"), 12, 1.0, 36, 0.7), 6).alias("cocite_weight"))
+    return m.select("o_custkey", F.round("age", 6).alias("age"), F.round(c.ramp(F.col("age"), 12, 0.3, 18, 1.0) + 1e-9, 6).alias("cite_weight"), F.round(c.ramp(F.col("age"), 12, 1.0, 36, 0.7) + 1e-9, 6).alias("cocite_weight"))
 
 
 _CD = f"{FOLLOW_SQL}, e AS (SELECT DISTINCT * FROM follow), o AS (SELECT x.citing AS node, y.citing AS citer FROM e x JOIN e y ON y.cited = x.cited AND y.citing <> x.citing), u AS (SELECT node, citer, max(dd) AS dd, max(rr) AS rr FROM (SELECT cited AS node, citing AS citer, 1 AS dd, 0 AS rr FROM e UNION ALL SELECT node, citer, 0, 1 FROM o) GROUP BY ALL), g AS (SELECT node, (count(*) FILTER (WHERE rr = 0) - count(*) FILTER (WHERE rr = 1 AND dd = 1)) / count(*)::DOUBLE AS cd FROM u GROUP BY node), p AS (SELECT node, cd, o_orderpriority AS field, year(o_orderdate) AS y FROM g JOIN orders ON o_orderkey = node)"
