@@ -167,3 +167,28 @@ def first_gap(checks: dict[str, Column], done: str) -> Column:
 def gaps(checks: dict[str, Column]) -> Column:
     """The names of all checks that do not hold."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks.items()]))
+
+
+def uncertainty(abstract: Column, field: Column, embedded: Column, enriched: Column, refs: Column, linked: Column) -> Column:
+    """Penalties for what a paper lacks, at most 1."""
+    def lacks(ok: Column, cost: float) -> Column:
+        return F.when(F.coalesce(ok, F.lit(False)), 0.0).otherwise(cost)
+
+    filled = [F.length(F.coalesce(x, F.lit(""))) > 0 for x in (abstract, field)]
+    links = F.when(refs == 0, 0.15).when(linked / F.greatest(refs, F.lit(1)) < 0.2, 0.10).otherwise(0.0)
+    return clip(lacks(filled[0], 0.2) + lacks(filled[1], 0.2) + lacks(embedded, 0.2) + lacks(enriched, 0.15) + links)
+
+
+def refreshed(last_seen: Column, recent: Column, legacy: Column, decay: Column, as_of: Column, months: int = 18, expired: float = 0.5) -> Column:
+    """(last_seen, legacy, decay): recent evidence renews an entry; `months` of 30.4 days without any make it legacy."""
+    old = F.datediff(as_of, last_seen) / 30.4 >= months
+    return F.struct(
+        F.when(recent > 0, as_of).otherwise(last_seen).alias("last_seen"),
+        F.when(recent > 0, False).when(old, True).otherwise(legacy).alias("legacy"),
+        F.when(recent > 0, 1.0).when(old, expired).otherwise(decay).alias("decay"),
+    )
+
+
+def spread(x: Column, low: Column, high: Column, to_low: float, to_high: float) -> Column:
+    """x from [low, high] to [to_low, to_high]; the middle where the range is empty."""
+    return F.when(high > low, to_low + (x - low) / (high - low) * (to_high - to_low)).otherwise((to_low + to_high) / 2)

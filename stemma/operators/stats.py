@@ -130,3 +130,28 @@ def bradley_terry(games: DataFrame, prior: float = 0.1, rounds: int = 50, tolera
         if moved is None or moved < tolerance:
             break
     return strength
+
+
+def fit_calibrator(df: DataFrame, y: str, score: str, strength: float = 6.0, rounds: int = 25, tolerance: float = 1e-9) -> dict:
+    """Logistic regression of y (0 or 1) on one score, classes weighing alike, the slope penalised by 1 / (2 strength).
+
+    Newton steps, each one aggregation of five sums. Without both classes: slope None. support and base are the rows and the share of ones.
+    """
+    ensure_checkpoints(df.sparkSession)
+    rows = df.filter(F.col(y).isin(0, 1) & F.col(score).isNotNull()).select(F.col(y).cast("double").alias("y"), F.col(score).cast("double").alias("s")).checkpoint()
+    n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    if not 0 < ones < n:
+        return {"coef": None, "intercept": None, "support": n, "base": ones / n if n else 0.5}
+    weight = F.when(F.col("y") == 1, F.lit(n / (2 * ones))).otherwise(F.lit(n / (2 * (n - ones))))
+    a = b = 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + F.exp(-(F.col("s") * a + b)))
+        miss, curve = weight * (F.col("y") - p), weight * p * (1 - p)
+        ga, gb, haa, hab, hbb = rows.agg(F.sum(miss * F.col("s")), F.sum(miss), F.sum(curve * F.col("s") ** 2), F.sum(curve * F.col("s")), F.sum(curve)).first()
+        ga, haa = ga - a / strength, haa + 1 / strength
+        det = haa * hbb - hab * hab
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        a, b = a + da, b + db
+        if abs(da) + abs(db) < tolerance:
+            break
+    return {"coef": a, "intercept": b, "support": n, "base": ones / n}
