@@ -18,16 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_dir, ship, stage, text_bytes
+from .common import scratch_dir, ship, stage
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 18
+#: Bytes of text that are encoded at once.
+PIECE = 1 << 23
 #: Chunks that a worker remembers; then it starts anew.
 REMEMBERED = 900_000
 
@@ -116,24 +119,38 @@ class WordEncoder:
             for c, e in zip(hard, self.whole.encode_batch([c.decode() for c in hard], add_special_tokens=False), strict=True):
                 known[c] = np.array(e.ids, self.kind).tobytes()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text, as bytes of self.kind."""
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, how many each text has).
+
+        Arrow cuts the texts into chunks and numbers the distinct ones; only these are looked up.
+        """
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        out, at = [], 0
-        while at < len(texts):
-            some, size = [], 0
-            while at < len(texts) and size < 1 << 22:
-                text = texts[at]
-                some.append((text if self.marked in text else text.lower()).split())  # special tokens are told by case
-                size += len(texts[at])
-                at += 1
-            missing = set().union(*some).difference(self.known)
-            if missing:
-                self.learn(list(missing))
-            known = self.known
-            out += [b"".join([known[w] for w in words]) for words in some]
-        return out
+        self.known[b""] = b""
+        texts = pa.array([x or "" for x in texts.to_pylist()], pa.large_string())  # a fresh array: ascii_lower misreads slices
+        told = pc.match_substring(texts, self.marked.decode())  # special tokens are told by case
+        words = pc.ascii_split_whitespace(pc.if_else(told, texts, pc.ascii_lower(texts)))
+        coded = words.flatten().cast(pa.large_binary()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        known = self.known
+        missing = [w for w in distinct if w not in known]
+        if missing:
+            self.learn(missing)
+        parts = [known[w] for w in distinct]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(self.kind).itemsize
+        flat, codes = np.frombuffer(b"".join(parts), self.kind), coded.indices.to_numpy()
+        n = size[codes]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        at = np.repeat((np.cumsum(size) - size)[codes] - ends[:-1], n)
+        at += np.arange(len(at))
+        edges = words.offsets.to_numpy()
+        return flat[at], np.diff(ends[edges - edges[0]])
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, as bytes of self.kind."""
+        ids, n = self.encode_column(pa.array([t.decode() for t in texts], pa.large_string()))
+        ends = np.cumsum(n)
+        return [ids[e - k : e].tobytes() for e, k in zip(ends.tolist(), n.tolist())]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -145,18 +162,30 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batch with at most PIECE bytes of text, or one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = size[at - 1] if at else 0
+        end = max(int(np.searchsorted(size, before + PIECE, "right")), at + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n, tie, ids): ids is zstandard-compressed and includes the end id; tie orders rows of one key."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, squeeze = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
-        end = np.array([end_id], enc.kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [x + end for x in enc.encode([text_bytes(x) for x in part[1].to_pylist()])]
-                yield pa.record_batch([part[0], pa.array([len(x) // enc.kind().nbytes for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([squeeze.compress(x) for x in ids], pa.binary())], names=[key, "n", "tie", "ids"])
+            for part in pieces(batch, 1):
+                flat, n = enc.encode_column(part[1])
+                ends = np.cumsum(n + 1)
+                flat = np.insert(flat, np.cumsum(n), end_id)
+                ids = [flat[e - k : e].tobytes() for e, k in zip(ends.tolist(), (n + 1).tolist())]
+                yield pa.record_batch([part[0], pa.array(n + 1), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([squeeze.compress(x) for x in ids], pa.binary())], names=[key, "n", "tie", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
     return stage(docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n long, tie long, ids binary"), "token-ids")

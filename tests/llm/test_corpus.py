@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -360,3 +361,13 @@ def test_secrets(spark, sf):
     at = 10_000 + len(EDGE)
     assert f"jwt:4:{4 + len(jwt)}" in spans[at] and "pem:" in spans[at + 1] and "jwt" not in spans[at + 1] and spans[at + 2].startswith("der:0:")
     assert spans[at + 5] == "" and secret_scan.scan_secrets(df.limit(0)).count() == 0
+
+
+def test_encoder_agrees_with_the_whole_tokenizer_on_slices():
+    enc = token_output.encoder(queries.tokenizer_file("word_bpe_49k.json"))
+    texts = ["", None, "a\x0bb\x0cc\x1cd\x85e\xa0f", "  Lead, trail \n", "<|endoftext|> Foo BAR", "İstanbul ÀÉÎ ß", "don't WE'LL 123,456", "日本語 テキスト", "Éa" * 2000]
+    rows = pa.record_batch([pa.array(texts)], names=["t"]).slice(1)
+    flat, n = enc.encode_column(rows[0])
+    want = [enc.whole.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+    assert n.tolist() == [len(x) for x in want] and flat.tolist() == sum(want, [])
+    assert [p.num_rows for p in token_output.pieces(rows, 0)] == [len(texts) - 1]
