@@ -30,7 +30,7 @@ from .common import scratch_dir, ship, stage
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 18
 #: Bytes of text that are encoded at once.
-PIECE = 1 << 23
+PIECE = 6 << 20
 #: Chunks that a worker remembers; then it starts anew.
 REMEMBERED = 900_000
 
@@ -41,7 +41,8 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of unsigned 32-bit values: 1 to 4 little-endian bytes each, lengths in control."""
     v = np.ascontiguousarray(values, "<u4")
     size = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    wide = 4 if len(v) and v.max() > 0xFFFF else 2  # the bytes that can be in use
+    data = v.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide)[np.arange(wide) < size[:, None]]
     codes = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     codes[: len(v)] = size - 1
     quad = codes.reshape(-1, 4)
@@ -54,7 +55,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
     start = np.cumsum(size) - size
     out = np.zeros(n, np.uint32)
-    for k in range(4):
+    for k in range(int(size.max(initial=0))):
         out |= np.where(size > k, raw[start + k], 0).astype(np.uint32) << np.uint32(8 * k)
     return out
 
@@ -191,8 +192,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, key: str
     return stage(docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n long, tie long, ids binary"), "token-ids")
 
 
-def raw_ids(blob: bytes, n: int) -> np.ndarray:
-    data = zstandard.ZstdDecompressor().decompress(blob, max_output_size=4 * n)
+def raw_ids(blob: bytes, n: int, expand: zstandard.ZstdDecompressor | None = None) -> np.ndarray:
+    data = (expand or zstandard.ZstdDecompressor()).decompress(blob, max_output_size=4 * n)
     return np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32)
 
 
@@ -200,12 +201,12 @@ def rank_table(encoded: DataFrame, size: int) -> np.ndarray:
     """Ids by falling frequency in all documents, then by id. Its size is the vocabulary's, whatever the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total, expand = np.zeros(size, np.int64), zstandard.ZstdDecompressor()
         for batch in batches:
-            for blob, n in zip(batch[0].to_pylist(), batch[1].to_pylist()):
-                total += np.bincount(raw_ids(blob, n), minlength=size) if n > size else 0
-                if n <= size:
-                    np.add.at(total, raw_ids(blob, n), 1)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids = [raw_ids(blob, n, expand) for blob, n in zip(part[0].to_pylist(), part[1].to_pylist())]
+                total += np.bincount(np.concatenate(ids), minlength=size)
         found = np.flatnonzero(total)
         yield pa.record_batch([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["id", "n"])
 
@@ -231,6 +232,7 @@ def write_token_files(encoded: DataFrame, ranked: np.ndarray, path: str, key: st
 
         part, block = TaskContext.get().partitionId(), 0
         keys, ids, size = [], [], 0
+        expand = zstandard.ZstdDecompressor()
 
         def close() -> pa.RecordBatch:
             flat = shared.value[np.concatenate(ids)]
@@ -244,7 +246,7 @@ def write_token_files(encoded: DataFrame, ranked: np.ndarray, path: str, key: st
         for batch in batches:
             for k, n, blob in zip(*(batch[i].to_pylist() for i in range(3))):
                 keys.append(k)
-                ids.append(raw_ids(blob, n))
+                ids.append(raw_ids(blob, n, expand))
                 size += n
                 if size >= BLOCK_IDS:
                     yield close()
