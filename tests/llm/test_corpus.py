@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -235,6 +236,17 @@ def test_licenses(spark):
     assert got[0]["permissive"] and got[93]["permissive"] is None and got[8]["licenses"] == "GPL-2.0"
 
 
+def test_licenses_wrapped_behind_comment_marks():
+    scanner = licenses.Scanner()
+    for mark in ("", "# ", " * ", "// ", "rem "):
+        for name, t in licenses.TEMPLATES:
+            text = "A program.\n" + textwrap.indent(textwrap.fill(t, 72), mark) + "\nIts text"
+            assert name in {f["license"] for f in scanner.scan(text)}, (mark, name)
+    names = lambda t: [f["license"] for f in scanner.scan(t)]
+    assert names("It is released under the\nterms of the Bison License.\n") == ["unknown"]
+    assert names("This work is licensed under the GNU General Public License, version 2.\nSee chapter 3.") == ["GPL-2.0"]
+
+
 def shingle_set(t):
     w = "".join(c.lower() if c.isascii() else c for c in t or "").encode().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
