@@ -247,6 +247,11 @@ def test_licenses_wrapped_behind_comment_marks():
     assert names("This work is licensed under the GNU General Public License, version 2.\nSee chapter 3.") == ["GPL-2.0"]
 
 
+def test_licenses_in_a_list_of_all():
+    got = {f["license"] for f in licenses.Scanner().scan("\n".join(t for _, t in licenses.TEMPLATES))}
+    assert got == {name for name, _ in licenses.TEMPLATES}
+
+
 def shingle_set(t):
     w = "".join(c.lower() if c.isascii() else c for c in t or "").encode().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
