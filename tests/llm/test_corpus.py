@@ -252,6 +252,13 @@ def test_licenses_in_a_list_of_all():
     assert got == {name for name, _ in licenses.TEMPLATES}
 
 
+def test_licenses_over_the_edge_of_a_block():
+    scanner = licenses.Scanner()
+    for n in range(900, 1100):
+        got = [f["license"] for f in scanner.scan("a license " + "z " * n + "Licensed under the Apache License, Version 2.0. " + "y " * 3000)]
+        assert got == ["Apache-2.0"], n
+
+
 def shingle_set(t):
     w = "".join(c.lower() if c.isascii() else c for c in t or "").encode().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
