@@ -3,7 +3,8 @@
 Base patterns find e-mail addresses, IP addresses, card numbers and phone numbers. They are the seeds of a bipartite
 graph of identifiers and the lexical contexts around them. Rounds of scoring go over it: a context is trusted by the
 share and number of known identifiers among those it surrounds, an identifier by the contexts that surround it.
-Identifier-like tokens that trusted contexts reach are reported with the kind of their contexts. All of it is
+Identifier-like tokens, and digits in groups, that trusted contexts reach are reported with the kind of their contexts
+(groups of 6 to 19 digits, as cards and phones only; a token inside a reported group is not told apart). All of it is
 DataFrame operations; a text is read once and no text is shuffled.
 
 Patterns are written so that each position is tried once: a run of characters is taken whole or not at all, since
@@ -28,11 +29,13 @@ PATTERNS = {
     # Runs of fewer digits would be dropped, and no run that is kept begins inside one.
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    # What contexts may turn out to be identifiers: tokens of 6 to 62 characters that hold a digit or an at sign.
-    "token": r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z0-9._%+@-]{0,61}[0-9@])[A-Za-z0-9][A-Za-z0-9._%+@-]{4,60}[A-Za-z0-9](?![A-Za-z0-9._%+@-])",
+    # What contexts may turn out to be identifiers: tokens of 6 characters or more that hold a digit or an at sign, up to
+    # their last letter or digit, as a full stop may follow; and digits in groups.
+    "token": r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+-]*+(?:[0-9]|@[._%+@-]*+[A-Za-z0-9]))(?=[A-Za-z0-9][A-Za-z0-9._%+@-]{4}[._%+@-]*+[A-Za-z0-9])[A-Za-z0-9]++(?:[._%+@-]++[A-Za-z0-9]++)*+",
+    "group": r"(?<![A-Za-z0-9._%+@-])\(?[0-9]++(?:(?:\)\x20?|[\x20./-])\(?[0-9]++(?![._%+@-]*+[A-Za-z]))++",
 }
 #: What a text must hold for a pattern to be tried.
-_NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "token": "[0-9@]"}
+_NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "token": "[0-9@]", "group": r"[0-9](?:\)|[\x20./-]\(?[0-9])"}
 #: Rounds of scoring, known identifiers that a context needs, trust that makes a context or an identifier count.
 ROUNDS, SUPPORT, CONTEXT_TRUST, TRUST = 2, 4, 0.6, 0.8
 
@@ -56,6 +59,7 @@ def valid(kind: Column, match: Column) -> Column:
         F.when(kind == "ip", match.rlike(rf"^{octet}(?:\.{octet}){{3}}$"))
         .when(kind == "card", F.when(n.between(13, 19), luhn(d)).otherwise(False))
         .when(kind == "phone", n.between(9, 15))
+        .when(kind == "group", n.between(6, 19) & match.rlike(r"[\x20()/]"))  # others are tokens
         .otherwise(True)
     )
 
@@ -117,13 +121,16 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """One row a document: counts and digest of base spans, all spans, and the number that contexts found."""
     found = matches(docs, key, text)
     spans = stage(located(found), "pii-spans")
-    base = spans.filter(F.col("kind") != "token")
-    tokens = spans.filter(F.col("kind") == "token")
+    base = spans.filter(F.col("kind").isin(*KINDS))
+    tokens = spans.filter(~F.col("kind").isin(*KINDS))
     b = base.select(F.col("row").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"))
     tokens = stage(tokens.join(b, (F.col("row") == F.col("r")) & (F.col("start") < F.col("e")) & (F.col("s") < F.col("end")), "left_anti"), "pii-tokens")
     edges = stage(contexts(base.unionByName(tokens)), "pii-edges")
     new = bootstrap(edges, base.select(F.lower("match").alias("value"), "kind"))
-    more = tokens.drop("kind").withColumn("value", F.lower("match")).join(new.select("value", "kind"), "value")
+    more = tokens.withColumnRenamed("kind", "form").withColumn("value", F.lower("match")).join(new.select("value", "kind"), "value")
+    more = more.filter((F.col("form") == "token") | F.col("kind").isin("card", "phone"))
+    g = more.filter("form = 'group'").select(F.col("row").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"))
+    more = more.join(g, (F.col("form") == "token") & (F.col("row") == F.col("r")) & (F.col("start") < F.col("e")) & (F.col("s") < F.col("end")), "left_anti")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     every = base.select("row", order.alias("k"), "start", "end", F.lit(True).alias("base")).union(more.select("row", order.alias("k"), "start", "end", F.lit(False)))
     grouped = every.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "start", "end", "base"))).alias("s"))

@@ -89,6 +89,29 @@ def test_personal_data_contexts(spark):
     assert got[3]["n_contextual"] == 0 and got[3]["n_email"] == 1
 
 
+def test_personal_data_contexts_at_sentence_ends_and_in_groups(spark):
+    rows = [(i, f"please mail user{i}@mail.example.org today") for i in range(20)] + [(i, f"my phone is +1 743 555 3{i} thanks") for i in range(120, 140)]
+    rows += [(i, f"we wrote. please mail user{i}@mail.example.org") for i in range(40, 60)]
+    long = "x1" * 50
+    rows += [(200, "please mail jane42@localhost."), (201, f"please mail {long} today"), (202, "my phone is 555 123 4567 thanks"), (203, "my phone is (555) 123-4567."), (204, "my phone is 555 1234567 thanks"), (205, "please mail AB12345..."), (206, "please mail abcdef@ today"), (207, "my phone is 5" + " 5" * 40 + " thanks")]
+    got = keyed(pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i]["spans"] for i in range(200, 208)] == ["email:12:28", "email:12:112", "phone:12:24", "phone:12:26", "phone:12:23", "email:12:19", "", ""]
+
+
+def test_personal_data_tokens_fuzzed(spark):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("ab12.-@ _") for _ in range(rng.randint(0, 60)))) for i in range(400)] + [(400, "a" * 100_000), (401, "a.@" * 30_000), (402, "ab" + "." * 100_000), (403, "1 " * 30_000 + "x"), (404, "a1." * 30_000), (405, "1-" * 50_000)]
+    found = pii.located(pii.matches(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text"))
+    got = sorted((r.start, r.match) for r in found.filter("kind = 'token'").collect())
+    want = []
+    for _, t in rows:
+        for m in re.finditer(r"[A-Za-z0-9._%+@-]+", t):
+            token = m[0].rstrip("._%+@-")
+            if len(token) >= 6 and token[0].isalnum() and re.search("[0-9@]", token):
+                want.append((m.start(), token))
+    assert got == sorted(want)
+
+
 def contaminated(text, items):
     word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in (t or "")))
     w, hit, found = word(text), set(), set()
