@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 from ..sources.tables import ensure_checkpoints
 
 
-def pairs_sharing(edges: DataFrame, item: str, group: str, most: int, least: int) -> DataFrame:
-    """(a, b, weight): pairs of items in at least `least` common groups; groups of more than `most` items are left out,
-    as the definition asks, which also bounds what a group can emit."""
-    size = edges.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") <= most)
-    rare = edges.join(size, group).select(group, item)
-    left, right = rare.withColumnRenamed(item, "a"), rare.withColumnRenamed(item, "b")
+def pairs_sharing(edges: DataFrame, item: str, group: str, least: int) -> DataFrame:
+    """(a, b, weight): pairs of items in at least `least` common groups, of all items of every group."""
+    held = edges.select(group, item)
+    left, right = held.withColumnRenamed(item, "a"), held.withColumnRenamed(item, "b")
     return left.join(right, group).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
 
 

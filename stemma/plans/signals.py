@@ -280,7 +280,7 @@ def cross_topic_neighbours(spark, d):
 
 @query(f"WITH {BASKETS_SQL}, pair AS (SELECT a.cited AS a, b.cited AS b, count(*) AS weight FROM basket a JOIN basket b ON a.citing = b.citing AND a.cited < b.cited GROUP BY ALL HAVING count(*) >= 2) SELECT min(weight)::BIGINT AS least, max(weight)::BIGINT AS most, round(avg(weight), 6) AS mean, quantile_cont(weight, 0.5)::DOUBLE AS median FROM pair")
 def edge_weights(spark, d):
-    pairs = graph.pairs_sharing(baskets(spark, d), "cited", "citing", 80, 2)
+    pairs = graph.pairs_sharing(baskets(spark, d), "cited", "citing", 2)
     return pairs.agg(F.min("weight").alias("least"), F.max("weight").alias("most"), F.round(F.avg("weight"), 6).alias("mean"), F.percentile("weight", 0.5).alias("median"))
 
 

@@ -35,6 +35,22 @@ def test_query_says_what_its_sql_says(spark, sf, duck, name):
     assert plain(df.collect(), df.columns) == plain(want.fetchall(), names)
 
 
+@pytest.mark.parametrize("name", ["cocitation", "degree_centrality", "edge_weights", "fused_edges", "modularity"])
+def test_groups_of_over_80_count_whole(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE lineitem AS SELECT o AS l_orderkey, p AS l_partkey FROM range(1, 3) a(o), range(1, 82 + o * 5) b(p) UNION ALL SELECT 3, p FROM range(1, 5) b(p)")
+    con.execute("CREATE TABLE part AS SELECT p AS p_partkey, 'Brand#' || p % 3 AS p_brand FROM range(1, 100) b(p)")
+    for t in ("lineitem", "part"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    want = con.execute(catalog.ORACLE[name])
+    names = [d[0] for d in want.description]
+    rows = want.fetchall()
+    assert rows and plain(df.collect(), df.columns) == plain(rows, names)
+    if name == "edge_weights":
+        assert dict(zip(names, rows[0]))["most"] == 3
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
