@@ -1,8 +1,9 @@
 """Secret scans with structural confirmation.
 
-Patterns give the base findings. Beyond them, runs of base64 or hex are decoded and reported only where their
-structure confirms a secret: a token whose header and claims are JSON with an algorithm and whose signature decodes,
-a private key whose nested DER lengths add up, or an OpenSSH private key. What base findings decode to is told too.
+Patterns give the base findings. Beyond them, runs of base64 (in either alphabet, also over
+several lines) or hex are decoded and reported only where their structure confirms a secret: a token whose header and
+claims are JSON with an algorithm and whose signature decodes, a private key whose nested DER lengths add up, or an
+OpenSSH private key. What base findings decode to is told too.
 
 Edge cases: null and empty texts have no findings; findings are in code points; long texts are scanned whole; rows of
 one id are scanned each; an empty table gives an empty table.
@@ -30,7 +31,15 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
+_URL_SAFE = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: White space, also as strings write it: backslashes and a letter.
+_BREAK = r"(?:\s|\\+[nrt])+"
+_BREAKS = re.compile(_BREAK)
+_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]++|\\+[nrt])++)-----END \1-----")
+#: Where keys in base64 can begin: a DER sequence, or the magic of OpenSSH; and their lines, in either alphabet.
+_MAGIC = "b3BlbnNzaC1r"
+_START = re.compile(rf"M(?=[A-Za-z0-9+/_-]{{15}})|{_MAGIC}")
+_LINES = tuple(re.compile(rf"([{a}]+)(={{0,2}})({_BREAK})?") for a in ("A-Za-z0-9+/", "A-Za-z0-9+/_-"))
 
 #: Object identifiers of key algorithms in DER: RSA, elliptic curve, Ed25519, X25519.
 KEY_IDS = tuple(bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2b6570", "2b656e"))
@@ -127,6 +136,40 @@ def structure(text: str) -> str:
     return ""
 
 
+def der_chars(head: bytes) -> int:
+    """How many base64 characters a DER sequence takes that begins so, if it holds an integer first; else 0."""
+    n, at = head[1], 2
+    if n & 0x80:
+        at += n & 0x7F
+        if not 2 < at <= 6:
+            return 0
+        n = int.from_bytes(head[2:at], "big")
+    return -(-(at + n) * 4 // 3) if head[at] == 2 else 0
+
+
+def wrapped(text: str, at: int) -> tuple[int, int] | None:
+    """(kind, end) of a key that begins here and may run over several lines. DER says its length; lines of OpenSSH keys
+    have one width but for the first, which can follow something, and the last."""
+    ssh = text.startswith(_MAGIC, at)
+    want = 1 << 62 if ssh else der_chars(decode64(text[at : at + 16]))
+    for line in _LINES if want else ():
+        parts, ends, pos, total = [], [], at, 0
+        while total < want and (m := line.match(text, pos)):
+            n, width = len(m[1]), len(parts[1]) if len(parts) > 1 else 0
+            if ssh and width and n > width:
+                break
+            parts.append(m[1])
+            ends.append(m.end(2))
+            pos, total = m.end(), total + n
+            if m[2] or m[3] is None or ssh and n < (width or len(parts[0])):
+                break
+        for k in (len(parts), len(parts) - 1) if ssh else (len(parts),) if total == want else ():
+            data = decode64("".join(parts[:k]))
+            if data and (is_ssh_key(data) if ssh else is_private_key(data)):
+                return KINDS.index("ssh" if ssh else "der"), ends[k - 1]
+    return None
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """(base spans, further spans, how many base spans have a key's structure); a span is (start, kind, end)."""
     base, more, firm = [], [], 0
@@ -145,16 +188,25 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     blocks = []
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            data = decode64("".join(m[2].split()))
+            data = decode64(_BREAKS.sub("", m[2]))
             if data and (is_private_key(data) or is_ssh_key(data) or m[1].startswith("ENCRYPTED") and der(data)):
                 more.append((m.start(), 4, m.end()))
                 blocks.append((m.start(), m.end()))
-    for m in _BASE64.finditer(text):
-        if any(s <= m.start() < e for s, e in blocks):
+    for m in _START.finditer(text):
+        at = m.start()
+        if at and (text[at - 1].isalnum() or text[at - 1] in "+/") and text[max(0, at - 2) : at] not in ("\\n", "\\r", "\\t"):
             continue
-        found = structure(m[0])
-        if found in ("der", "ssh"):
-            more.append((m.start(), KINDS.index(found), m.end()))
+        if not any(s <= at < e for s, e in blocks) and (found := wrapped(text, at)):
+            more.append((at, *found))
+            blocks.append((at, found[1]))
+    for pattern in (_BASE64, _URL_SAFE) if "-" in text or "_" in text else (_BASE64,):
+        for m in pattern.finditer(text):
+            if pattern is _URL_SAFE and not ("-" in m[0] or "_" in m[0]) or any(s < m.end() and m.start() < e for s, e in blocks):
+                continue
+            found = structure(m[0])
+            if found in ("der", "ssh"):
+                more.append((m.start(), KINDS.index(found), m.end()))
+                blocks.append(m.span())
     return sorted(base), sorted(more), firm
 
 

@@ -410,6 +410,34 @@ def test_secrets(spark, sf):
     assert spans[at + 5] == "" and secret_scan.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_secrets_in_other_forms():
+    import base64
+    import json
+
+    tlv = lambda tag, x: bytes([tag]) + (bytes([len(x)]) if len(x) < 128 else b"\x82" + len(x).to_bytes(2, "big")) + x
+    rng = random.Random(6)
+    short = bytes.fromhex("302e020100300506032b657004220420") + bytes(range(200, 232))
+    rsa = tlv(0x30, b"".join(tlv(2, x) for x in (b"\0", rng.randbytes(256), b"\1\0\1", *(rng.randbytes(n) for n in (256, 128, 128, 128, 128, 128)))))
+    said = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = b"openssh-key-v1\0" + said(b"none") * 2 + said(b"") + b"\0\0\0\1" + said(rng.randbytes(51)) + said(rng.randbytes(136))
+    kinds = lambda t: [secret_scan.KINDS[k] for _, k, _ in secret_scan.scan(t)[1]]
+    for kind, data in (("der", short), ("der", rsa), ("ssh", ssh)):
+        for encode in (base64.b64encode, base64.urlsafe_b64encode):
+            b64 = encode(data).decode()
+            for width in (16, 64, 70, 76, 5000):
+                for end in ("\n", "\r\n", "\\n", "\n    "):
+                    body = end.join(b64[i : i + width] for i in range(0, len(b64), width))
+                    for text in (body, f"Here it is:{end}{body}{end}The end", f'key = "{body}"'):
+                        found = secret_scan.scan(text)[1]
+                        assert [secret_scan.KINDS[k] for _, k, _ in found] == [kind], (kind, width, end)
+                        assert text[found[0][0] :].startswith(b64[:16])
+        b64 = base64.b64encode(data).decode()
+        pem = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(b64[i : i + 64] for i in range(0, len(b64), 64)) + "\n-----END PRIVATE KEY-----\n"
+        assert kinds(pem) == kinds(json.dumps({"private_key": pem})) == kinds(json.dumps(json.dumps({"private_key": pem}))) == ["pem"]
+        assert kinds(f"-----{b64}-----") == [kind]
+    assert kinds("M" * 100_000) == kinds("-M" * 50_000) == kinds(("M" * 64 + "\n") * 2000) == kinds("-----BEGIN PRIVATE KEY-----" + "A\\\\n" * 20_000) == []
+
+
 def test_encoder_agrees_with_the_whole_tokenizer_on_slices():
     enc = token_output.encoder(queries.tokenizer_file("word_bpe_49k.json"))
     texts = ["", None, "a\x0bb\x0cc\x1cd\x85e\xa0f", "  Lead, trail \n", "<|endoftext|> Foo BAR", "İstanbul ÀÉÎ ß", "don't WE'LL 123,456", "日本語 テキスト", "Éa" * 2000]
