@@ -14,7 +14,7 @@
 3.8 standard errors below it. Nothing is capped.
 
 Edge cases: null and empty texts have no shingles and are linked with nothing; fewer words than five are one shingle;
-rows of equal texts, or of one id, share a component; a null id never names a component unless all its ids are null;
+rows of equal texts share a component, rows of one id with different texts need not and are told apart; a null id never names a component unless all its ids are null;
 an empty table gives an empty table.
 """
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import segments, ship, stage, text_bytes
+from .common import fresh, segments, ship, stage, text_bytes
 
 WIDTH = 5
 BANDS, ROWS = 40, 5
@@ -111,7 +111,7 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n, fp, bands, sketch) of every row, staged; fp and what follows are null for empty sets."""
+    """(id, h, n, fp, bands, sketch) of every row, staged; h is the text's hash; fp and what follows are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,9 +122,9 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                 empty = np.array([not len(s) for s in sets])
                 bands = pa.ListArray.from_arrays(np.arange(0, BANDS * len(sets) + 1, BANDS, dtype=np.int32), pa.array(band_keys(m).ravel()), mask=pa.array(empty))
                 sketch = pa.array([None if e else b.tobytes() for b, e in zip(sketches(m), empty)], pa.binary())
-                yield pa.record_batch([part[0], pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), bands, sketch], names=["id", "n", "fp", "bands", "sketch"])
+                yield pa.record_batch([part[0], part[2], pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), bands, sketch], names=["id", "h", "n", "fp", "bands", "sketch"])
 
-    return stage(docs.select(F.col(key).alias("id"), F.col(text)).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, n long, fp long, bands array<long>, sketch binary"), "sigs")
+    return stage(docs.select(F.col(key).alias("id"), F.col(text), F.xxhash64(text)).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, h long, n long, fp long, bands array<long>, sketch binary"), "sigs")
 
 
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -300,8 +300,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return one.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every row."""
+def grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """(id, h, n, component_id, kept) of every row."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
     sigs = signatures(docs, key, text)
@@ -322,12 +322,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         roots = stage(components(links.union(more)), "roots")
     lead = nodes.select("fp", "id").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = lead.join(lead.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("fp", "component_id")
-    out = sigs.select("id", "n", "fp").join(names, "fp", "left")
+    out = sigs.select("id", "h", "n", "fp").join(names, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select("id", "h", "n", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """(key, n_shingles, component_id, kept) of every row."""
+    return grouped(docs, key, text, percent).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """docs without the rows whose component has a smaller id."""
-    gone = near_duplicates(docs, key, text, percent).filter("not kept").select(key).distinct()
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    """docs without the rows whose component has a smaller id, told by id (null too) and text."""
+    i, h = fresh(docs, "_id"), fresh(docs, "_hash")
+    gone = grouped(docs, key, text, percent).filter("not kept").select(F.col("id").alias(i), F.col("h").alias(h)).distinct()
+    return docs.join(gone, F.col(key).eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(h)), "left_anti").select(*docs.columns)

@@ -330,6 +330,16 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_keep_one_with_repeated_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (9, b + " more"), (None, c), (7, c), (None, d), (8, None), (None, None), (None, "")]
+    kept = near_dedup.keep_one(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, _id int"))
+    low = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")
+    want = [(1, a), (5, b), (7, c), (None, d), (8, None), (None, None), (None, "")]
+    assert kept.columns == ["doc_id", "text", "_id"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=low) == sorted(want, key=low)
+
+
 def test_odd_sketches_estimate_similarity():
     rng = np.random.default_rng(4)
     for same in (0.6, 0.75, 0.9):
