@@ -7,11 +7,14 @@ block holds whole documents: their ids and lengths, the control bytes (four 2-bi
 and a crc. Readers get the lengths of four values at a time from a table of the 256 control bytes.
 
 Edge cases: a null or empty text is the end id alone; null ids come first; rows of one id are ordered by their
-tokens' hash; long texts become blocks of their own; an empty table gives no blocks.
+tokens' hash and length; ids of any type that orders are kept as they are; long texts become blocks of their own, and
+memory is bounded by bytes of text and numbers of tokens, or by one document; an empty table gives no blocks; further
+columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -23,7 +26,6 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import scratch_dir, ship, stage
 
@@ -34,6 +36,18 @@ PIECE = 6 << 20
 #: Chunks that a worker remembers; then it starts anew.
 REMEMBERED = 900_000
 
+#: Ids that are counted at once.
+COUNTED = 1 << 22
+#: What a tokenizer must say of itself for its texts to be cut into chunks here; others are encoded whole.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
 
 
@@ -63,20 +77,25 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class WordEncoder:
     """Encodes texts as the tokenizer does, one white-space chunk at a time, remembering chunks.
 
-    It relies on a tokenizer that drops white space and never merges across it. Chunks of printable ASCII and Latin
-    letters are lower-cased, split and mapped to byte letters here, and only their distinct pieces are encoded, many
-    in one call; any other chunk, and any with a special token, goes to the whole tokenizer.
+    Only a tokenizer whose file states NORMALIZER and SPLITTER drops white space and never merges across it; with any
+    other, texts are encoded whole. Chunks of printable ASCII and Latin letters are lower-cased, split and mapped to
+    byte letters here, and only their distinct pieces are encoded, many in one call; any other chunk, and any with a
+    special token, goes to the whole tokenizer as it is written. A text with a combining mark is not lower-cased before
+    its chunks are told apart: a small letter may compose with the mark where its capital does not.
     """
 
     simple = regex.compile(r"[\x21-\x7EÀ-ɏ]+")
-    pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    pieces = regex.compile(SPLITTER["pretokenizers"][0]["pattern"]["Regex"])
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        said = json.loads(self.whole.to_str())
+        self.chunked = said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == SPLITTER and said["model"]["type"] == "BPE"
         self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
-        self.marked = os.path.commonprefix(self.special) or b" "
+        marked = os.path.commonprefix(self.special).decode() or " "
+        self.as_written = rf"{regex.escape(marked)}|\pM"  # texts whose case counts
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -125,11 +144,14 @@ class WordEncoder:
 
         Arrow cuts the texts into chunks and numbers the distinct ones; only these are looked up.
         """
+        texts = pa.array([x or "" for x in texts.to_pylist()], pa.large_string())  # a fresh array: ascii_lower misreads slices
+        if not self.chunked:
+            ids = [e.ids for e in self.whole.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.array(x, self.kind) for x in ids] or [np.zeros(0, self.kind)]), np.array([len(x) for x in ids], np.int64)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         self.known[b""] = b""
-        texts = pa.array([x or "" for x in texts.to_pylist()], pa.large_string())  # a fresh array: ascii_lower misreads slices
-        told = pc.match_substring(texts, self.marked.decode())  # special tokens are told by case
+        told = pc.match_substring_regex(texts, self.as_written)
         words = pc.ascii_split_whitespace(pc.if_else(told, texts, pc.ascii_lower(texts)))
         coded = words.flatten().cast(pa.large_binary()).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
@@ -163,17 +185,22 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of batch with at most PIECE bytes of text, or one row."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+def slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batch whose rows' sizes add up to at most `most`, or of one row."""
+    size = np.cumsum(sizes.astype(np.int64))
     at = 0
     while at < batch.num_rows:
         before = size[at - 1] if at else 0
-        end = max(int(np.searchsorted(size, before + PIECE, "right")), at + 1)
+        end = max(int(np.searchsorted(size, before + most, "right")), at + 1)
         yield batch.slice(at, end - at)
         at = end
 
 
+def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batch with at most PIECE bytes of text, or one row."""
+    return slices(batch, pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False), PIECE)
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n, tie, ids): ids is zstandard-compressed and includes the end id; tie orders rows of one key."""
     ship(docs.sparkSession)
@@ -203,8 +230,7 @@ def rank_table(encoded: DataFrame, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, expand = np.zeros(size, np.int64), zstandard.ZstdDecompressor()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, batch[1].to_numpy(), COUNTED):
                 ids = [raw_ids(blob, n, expand) for blob, n in zip(part[0].to_pylist(), part[1].to_pylist())]
                 total += np.bincount(np.concatenate(ids), minlength=size)
         found = np.flatnonzero(total)
@@ -216,7 +242,7 @@ def rank_table(encoded: DataFrame, size: int) -> np.ndarray:
     return np.lexsort((np.arange(size), -freq))
 
 
-BLOCK = "part int, block int, keys binary, key_nulls binary, lengths binary, n_ids long, control binary, data binary, crc long"
+BLOCK = "part int, block int, keys array<{kind}>, lengths binary, n_ids long, control binary, data binary, crc long"
 
 
 def write_token_files(encoded: DataFrame, ranked: np.ndarray, path: str, key: str = "doc_id", parts: int | None = None) -> None:
@@ -226,6 +252,7 @@ def write_token_files(encoded: DataFrame, ranked: np.ndarray, path: str, key: st
     rank[ranked] = np.arange(len(ranked), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank)  # one number for each id of the vocabulary
     parts = parts or max(1, encoded.rdd.getNumPartitions())
+    kind = encoded.schema[key].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -234,14 +261,11 @@ def write_token_files(encoded: DataFrame, ranked: np.ndarray, path: str, key: st
         keys, ids, size = [], [], 0
         expand = zstandard.ZstdDecompressor()
 
-        def close() -> pa.RecordBatch:
+        def close(arrow_kind: pa.DataType) -> pa.RecordBatch:
             flat = shared.value[np.concatenate(ids)]
             control, data = pack(flat)
-            row = {
-                "part": part, "block": block, "keys": np.array([k or 0 for k in keys], "<i8").tobytes(), "key_nulls": np.array([k is None for k in keys], np.uint8).tobytes(),
-                "lengths": np.array([len(x) for x in ids], "<i8").tobytes(), "n_ids": len(flat), "control": control, "data": data, "crc": zlib.crc32(data, zlib.crc32(control)),
-            }
-            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("key_nulls", pa.binary()), ("lengths", pa.binary()), ("n_ids", pa.int64()), ("control", pa.binary()), ("data", pa.binary()), ("crc", pa.int64())]))
+            row = {"part": part, "block": block, "keys": keys, "lengths": np.array([len(x) for x in ids], "<i8").tobytes(), "n_ids": len(flat), "control": control, "data": data, "crc": zlib.crc32(data, zlib.crc32(control))}
+            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("block", pa.int32()), ("keys", pa.list_(arrow_kind)), ("lengths", pa.binary()), ("n_ids", pa.int64()), ("control", pa.binary()), ("data", pa.binary()), ("crc", pa.int64())]))
 
         for batch in batches:
             for k, n, blob in zip(*(batch[i].to_pylist() for i in range(3))):
@@ -249,21 +273,22 @@ def write_token_files(encoded: DataFrame, ranked: np.ndarray, path: str, key: st
                 ids.append(raw_ids(blob, n, expand))
                 size += n
                 if size >= BLOCK_IDS:
-                    yield close()
+                    yield close(batch.schema.field(0).type)
                     keys, ids, size, block = [], [], 0, block + 1
         if keys:
-            yield close()
+            yield close(batch.schema.field(0).type)
 
     order = [F.col(key).asc_nulls_first(), F.col("tie"), F.col("n")]
     sorted_rows = encoded.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(key, "n", "ids")
-    sorted_rows.mapInArrow(write, BLOCK).write.mode("overwrite").parquet(f"{path}/blocks")
+    sorted_rows.mapInArrow(write, BLOCK.format(kind=kind)).write.mode("overwrite").parquet(f"{path}/blocks")
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(ranked)], "rank int, id int").coalesce(1).write.mode("overwrite").parquet(f"{path}/ranks")
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """(key, start, n_tokens, ids_crc32, ids) of every document, from the files alone. ids: little-endian 32-bit, or null."""
     ship(spark)
-    blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    kind = blocks.schema["keys"].dataType.elementType.simpleString()
     ranks = spark.read.parquet(f"{path}/ranks").toArrow()
     table = np.zeros(ranks.num_rows, np.uint32)
     table[ranks["rank"].to_numpy()] = ranks["id"].to_numpy()
@@ -277,12 +302,12 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                 ids = shared.value[unpack(row["control"], row["data"], row["n_ids"])].astype("<u4")
                 size = np.frombuffer(row["lengths"], "<i8")
                 start = np.cumsum(size) - size
-                keys = np.frombuffer(row["keys"], "<i8")
+                keys = row["keys"]
                 own = [ids[a : a + n].tobytes() for a, n in zip(start.tolist(), size.tolist())]
                 m = len(keys)
-                yield pa.record_batch([pa.array(keys, pa.int64(), mask=np.frombuffer(row["key_nulls"], np.uint8) > 0), pa.array(np.full(m, row["part"], np.int32)), pa.array(np.full(m, row["block"], np.int32)), pa.array(start), pa.array(size), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own if with_ids else [None] * m, pa.binary())], names=["key", "part", "block", "at", "n_tokens", "ids_crc32", "ids"])
+                yield pa.record_batch([pa.array(keys, batch.schema.field("keys").type.value_type), pa.array(np.full(m, row["part"], np.int32)), pa.array(np.full(m, row["block"], np.int32)), pa.array(start), pa.array(size), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own if with_ids else [None] * m, pa.binary())], names=["key", "part", "block", "at", "n_tokens", "ids_crc32", "ids"])
 
-    rows = blocks.mapInArrow(decode, "key long, part int, block int, at long, n_tokens long, ids_crc32 long, ids binary")
+    rows = blocks.mapInArrow(decode, f"key {kind}, part int, block int, at long, n_tokens long, ids_crc32 long, ids binary")
     sizes = blocks.select("part", "block", "n_ids")
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("_n"))
     parts = parts.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_part_start"))  # one row a part
@@ -299,6 +324,6 @@ def token_report(docs: DataFrame, tokenizer: str, end_id: int = 1, key: str = "d
     spark = docs.sparkSession
     path = path or f"{scratch_dir(spark)}/stemma/token-files-{uuid.uuid4().hex}"
     size = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
-    encoded = encode_documents(docs.withColumn(key, F.col(key).cast(T.LongType())), tokenizer, end_id, key, text)
+    encoded = encode_documents(docs, tokenizer, end_id, key, text)
     write_token_files(encoded, rank_table(encoded, size), path, key)
     return read_token_files(spark, path, with_ids=False).drop("ids").withColumnRenamed("key", key)
