@@ -6,8 +6,10 @@ one before, so that the flow repeats words only where a quota needs it. The flow
 in the order of a seeded hash.
 
 Edge cases: a null source is a source of its own, last in order; a null text has size 0; rows of one id share their
-order and are taken together; an empty table gives an empty table. A pattern's flow is met up to what whole
-documents allow: a prefix of the seeded order, and the one further document whose size closes the gap best.
+order and are taken together; an empty table gives an empty table; long texts are counted whole; columns of any name
+may stand beside. Source names may hold any character, since patterns are written once, by Spark, and only carried
+after that. A pattern's flow is met up to what whole documents allow: a prefix of the seeded order, and the one
+further document whose size closes the gap best, the first of equals in the seeded order.
 """
 
 from __future__ import annotations
@@ -107,8 +109,9 @@ def mix(docs: DataFrame, sources: Column, key: str = "doc_id", text: str = "text
     """(rows, plan, targets).
 
     rows: key, _pattern, _size, _order of every row, staged. plan: by pattern, copies of every document, and the
-    seeded order up to which documents get one more, and the order of the one that closes the gap. Patterns are
-    aggregates whose number max_patterns bounds; beyond it the operator refuses.
+    seeded order up to which documents get one more, and the order of the one that closes the gap. targets: by source,
+    its size, target, and the pattern of documents that no other source holds. Patterns are aggregates whose number
+    max_patterns bounds; beyond it the operator refuses.
     """
     spark = docs.sparkSession
     rows = stage(docs.select(F.col(key), sources.alias("_sources"), word_count(F.col(text)).alias("_size"), order_key(F.col(key), seed).alias("_order")).withColumn("_pattern", pattern_of(F.col("_sources"))), "mix-rows")
@@ -125,7 +128,8 @@ def mix(docs: DataFrame, sources: Column, key: str = "doc_id", text: str = "text
     flow = min_cost_flow([r["words"] for r in found], [round(targets[s]) for s in names], [[at[s] for s in m] for m in members], repeats)
     wanted = [sum(v for (p, _), v in flow.items() if p == i) for i in range(len(found))]
     quota = spark.createDataFrame([(r["_pattern"], w // r["words"] if r["words"] else 0, w % r["words"] if r["words"] else 0) for r, w in zip(found, wanted)], "_pattern string, _whole long, _rest long")
-    info = {s: {"size": sizes[s], "target": targets[s]} for s in names}
+    alone = {m[0]: r["_pattern"] for r, m in zip(found, members) if len(m) == 1}
+    info = {s: {"size": sizes[s], "target": targets[s], "pattern": alone.get(s)} for s in names}
     return rows, select(rows, quota), info
 
 
@@ -148,23 +152,27 @@ def select(rows: DataFrame, quota: DataFrame) -> DataFrame:
     return stage(quota.join(cut.select("_pattern", "_cut"), "_pattern", "left").join(extra, "_pattern", "left"), "mix-plan")
 
 
-def copies(order: Column) -> Column:
-    more = (order <= F.col("_cut")) | (order == F.col("_extra"))
-    return F.col("_whole") + F.coalesce(more, F.lit(False)).cast("long")
+def copies(order: Column, plan: str = "") -> Column:
+    """How often a document of this order is taken, from the plan's columns or a struct column that holds them."""
+    of = (lambda c: F.col(plan)[c]) if plan else F.col
+    more = (order <= of("_cut")) | (order == of("_extra"))
+    return F.coalesce(of("_whole"), F.lit(0)) + F.coalesce(more, F.lit(False)).cast("long")
 
 
-def one_source(source: str | None) -> str:
-    """The pattern of a document that only this source holds, as pattern_of writes it."""
-    import json
-
-    return json.dumps({"s": [source]}, ensure_ascii=False, separators=(",", ":"))
+def source_report(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(key, size, source_size, target, taken) of every row, each document being held by one source."""
+    rows, plan, targets = mix(docs, F.array(source), key, text, **options)
+    info = docs.sparkSession.createDataFrame([(v["pattern"], v["size"], float(v["target"])) for v in targets.values()], "_pattern string, source_size long, target double")
+    met = rows.join(F.broadcast(plan), "_pattern", "left").join(F.broadcast(info), "_pattern", "left")
+    return met.select(key, F.col("_size").alias("size"), "source_size", "target", (copies(F.col("_order")) * F.col("_size")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, sources: Column, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; no text is shuffled."""
     _, plan, _ = mix(docs, sources, key, text, **options)
-    pattern, times = fresh(docs, "_pattern"), fresh(docs, "_times")
+    pattern, held = fresh(docs, "_pattern"), fresh(docs, "_plan")
     named = docs.withColumn(pattern, pattern_of(sources))
-    plan = plan.withColumnRenamed("_pattern", "_of")
-    met = named.join(F.broadcast(plan), named[pattern] == plan["_of"])
-    return met.withColumn(times, copies(order_key(named[key], options.get("seed", "mix")))).filter(F.col(times) > 0).withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int")))).select(*[named[c] for c in docs.columns])
+    plan = plan.select(F.col("_pattern").alias(pattern), F.struct("_whole", "_cut", "_extra").alias(held))
+    met = named.join(F.broadcast(plan), pattern)
+    times = copies(order_key(F.col(key), options.get("seed", "mix")), held)
+    return met.withColumn(held, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

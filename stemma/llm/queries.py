@@ -42,9 +42,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, plan, targets = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
-    info = spark.createDataFrame([(mixing.one_source(s), v["size"], float(v["target"])) for s, v in targets.items()], "_pattern string, source_size long, target double")
-    return rows.join(F.broadcast(plan), "_pattern").join(F.broadcast(info), "_pattern").select("doc_id", F.col("_size").alias("size"), "source_size", "target", (mixing.copies(F.col("_order")) * F.col("_size")).alias("taken"))
+    return mixing.source_report(table(spark, sf_dir, "documents"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +110,23 @@ FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
 
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS o FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS s, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+step AS (SELECT 0 AS i, 1.5::DOUBLE * sum(s)::DOUBLE AS room, list({'k': k, 's': s::DOUBLE, 'w': [3, 1, 2][(k - 1) % 3 + 1]::DOUBLE, 'cut': false} ORDER BY k) AS l, false AS last FROM src
+  UNION ALL SELECT i + 1, room - coalesce(list_sum(list_transform(list_filter(n, lambda x: x.new), lambda x: 2 * x.s)), 0), list_transform(n, lambda x: {'k': x.k, 's': x.s, 'w': x.w, 'cut': x.cut OR x.new}), len(list_filter(n, lambda x: x.new)) = 0
+  FROM (SELECT i, room, list_transform(l, lambda x: {'k': x.k, 's': x.s, 'w': x.w, 'cut': x.cut, 'new': NOT x.cut AND room * x.w / total > 2 * x.s}) AS n
+    FROM (SELECT *, list_sum(list_transform(list_filter(l, lambda x: NOT x.cut), lambda x: x.w)) AS total FROM step WHERE NOT last))),
+done AS (SELECT room, list_sum(list_transform(list_filter(l, lambda x: NOT x.cut), lambda x: x.w)) AS total, unnest(l) AS x FROM step WHERE last),
+goal AS (SELECT source, s, CASE WHEN x.cut THEN 2 * x.s ELSE room * x.w / total END AS target FROM done JOIN src ON src.k = x.k),
+plan AS (SELECT source, s, target, CASE WHEN s > 0 THEN least(round_even(target, 0)::BIGINT, 2 * s) // s ELSE 0 END AS whole, CASE WHEN s > 0 THEN least(round_even(target, 0)::BIGINT, 2 * s) % s ELSE 0 END AS rest FROM goal),
+c AS (SELECT d.*, s, target, whole, rest, sum(size) OVER (PARTITION BY d.source ORDER BY o) AS upto FROM d JOIN plan p ON p.source IS NOT DISTINCT FROM d.source),
+g AS (SELECT *, rest - coalesce(max(upto) FILTER (upto <= rest) OVER (PARTITION BY source), 0) AS gap FROM c),
+e AS (SELECT *, min({'d': abs(size - gap), 'o': o}) FILTER (upto > rest AND abs(size - gap) < gap) OVER (PARTITION BY source) AS extra FROM g)
+SELECT doc_id, size, s AS source_size, target, (size * (whole + CASE WHEN s > 0 AND (upto <= rest OR o = extra.o) THEN 1 ELSE 0 END))::BIGINT AS taken FROM e
+"""
+
+
 def op8_sql() -> str:
     def escaped(c: str) -> str:
         """Code points of a text with its escapes."""
@@ -130,4 +145,4 @@ FROM c GROUP BY conv_id
 """
 
 
-ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op7_near_dedup": OP7_SQL, "op8_chat": op8_sql()}
+ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op5_mix": OP5_SQL, "op7_near_dedup": OP7_SQL, "op8_chat": op8_sql()}
