@@ -14,13 +14,18 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but these six ASCII white-space characters, as bytes.split() cuts them.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Keys with more than this part of all rows are joined by a broadcast.
+HOT = 2048
+
 _shipped: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="stemma-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -30,7 +35,32 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage in a way that survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/stemma/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        place = sc._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """rows joined with table, which has each key once, where one key may hold any share of rows.
+
+    The keys that hold more than one in HOT of all rows, fewer than HOT of them, are looked up in a broadcast; the
+    others are shuffled, so that no task gets more than that share for one key. counts: (key, count), if known.
+    """
+    counts = rows.groupBy(key).count() if counts is None else counts
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    often = [r[0] for r in counts.filter((F.col("count") > max(total // HOT, 16)) & F.col(key).isNotNull()).select(key).collect()]
+    if not often:
+        return rows.join(table, key, how)
+    is_hot = F.coalesce(F.col(key).isin(often), F.lit(False))
+    return rows.filter(is_hot).join(F.broadcast(table.filter(F.col(key).isin(often))), key, how).unionByName(rows.filter(~is_hot).join(table, key, how))
 
 
 def ship(spark: SparkSession) -> None:

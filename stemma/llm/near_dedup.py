@@ -3,32 +3,39 @@
 1. Each text becomes its set of 5-word shingles (64-bit hashes). Equal sets share a fingerprint and are one node.
 2. A node's MinHash samples fill bands, and folded by parity into a bitmap they make its odd sketch, whose XOR
    population count with another estimates their similarity.
-3. Nodes that share a band meet in its bucket; a bucket is taken in blocks of bounded size, pairs of blocks meeting
-   where it has several. Within a block, sketches give a forest that joins each node to its most similar ones.
-4. The forest's links are confirmed on the full sets, and components computed.
+3. Nodes that share a band meet in its bucket, a large bucket being dealt into blocks of bounded size. Within a block,
+   sketches give a forest that joins each node to its most similar ones.
+4. The forest's links are confirmed on the full sets, and components computed. One node of each component of a large
+   bucket then meets those of its other components in the same way, so that blocks grow together.
 5. Buckets that still hold several components are taken again, now with the full sets: every pair of different
    components whose sketches do not rule it out is confirmed on the spot, so that the forest has hidden no link and
-   only links leave the task.
+   only links leave the task. Blocks of one component alone do not meet each other: a bucket of many variants of one
+   text is copied once for each block of what is not among them.
 
 200 samples in 40 bands of 5 miss a pair at similarity 0.75 with probability 2e-5, and the sketch's cut, 0.60, lies
-3.8 standard errors below it. Nothing is capped.
+3.8 standard errors below it. Nothing is capped. Keys with a large share of rows are joined by broadcast of their few
+rows in the other table.
 
 Edge cases: null and empty texts have no shingles and are linked with nothing; fewer words than five are one shingle;
-rows of equal texts share a component, rows of one id with different texts need not and are told apart; a null id never names a component unless all its ids are null;
-an empty table gives an empty table.
+rows of equal texts share a component, rows of one id with different texts need not and are told apart; a null id
+never names a component unless all its ids are null; long texts are read whole, and blocks that carry sets are bounded
+by their size; an empty table gives an empty table; further columns, of any name, are not read. keep_one leaves one
+row of each component, the least id and of several with that id the least hash of the text, also where a row is
+repeated; rows without shingles all stay.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, segments, ship, stage, text_bytes
+from .common import discard, fresh, join_hot, segments, ship, stage, text_bytes
 
 WIDTH = 5
 BANDS, ROWS = 40, 5
@@ -36,10 +43,11 @@ SAMPLES = BANDS * ROWS
 BITS = 512
 #: Pairs whose estimated similarity is below the threshold less this are ruled out.
 SLACK = 0.15
-#: Rows of a bucket that meet at once.
-BLOCK = 2048
-#: The Bloom filter of ids whose sets are needed has 2 ** this many bits: 4 MB, whatever the corpus.
-BLOOM = 25
+#: Rows of a block in the first and in the second pass, shingles of a block of the second, rounds of meetings of components.
+BLOCK, SECOND_BLOCK, BLOCK_SHINGLES, ROUNDS = 2048, 512, 1 << 22, 4
+#: The Bloom filter of ids whose sets are needed has 2 ** this many bits, at most 16 MB. Beyond some 10 ** 7 ids it passes
+#: more and more of the others, whose sets are then shuffled for nothing.
+BLOOM = (18, 27)
 
 _rng = np.random.default_rng(20240607)
 _MULTIPLY = (_rng.integers(0, 1 << 31, SAMPLES, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -132,17 +140,49 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Bucket rows (key, fp, ..., count) with the block they meet in."""
+    blocks = F.ceil(F.col("count") / F.lit(BLOCK)).cast("int")
+    return rows.withColumn("_group", F.xxhash64("key", F.pmod(F.xxhash64("fp"), blocks))).withColumn("_side", F.lit(0))
+
+
+def dealt_again(rows: DataFrame) -> DataFrame:
+    """Rows (key, fp, n, component) of buckets with several components, once for each pair of blocks that they meet in.
+
+    A component with more than a block of a bucket has blocks of its own, which do not meet each other; the others share blocks.
+    """
+    kinds = stage(rows.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("w")), "kinds")
+    blocks = F.greatest(F.ceil(F.col("c") / F.lit(SECOND_BLOCK)), F.ceil(F.col("w") / F.lit(BLOCK_SHINGLES))).cast("int")
+    large = kinds.groupBy("key").agg(F.sum("c").alias("count"), F.sum("w").alias("w")).filter((F.col("count") > SECOND_BLOCK) | (F.col("w") > BLOCK_SHINGLES)).select("key", "count")
+    large = stage(large, "large")
+    whole = large.isEmpty()
+    small = (rows if whole else rows.join(large, "key", "left_anti")).withColumn("_group", F.xxhash64("key")).withColumn("_side", F.lit(0))
+    if whole:
+        return small
+    kinds = kinds.join(large.select("key"), "key").withColumn("blocks", blocks)
+    w = Window.partitionBy("key").orderBy("component")
+    own = kinds.filter("blocks > 1").withColumn("start", (F.sum("blocks").over(w) - F.col("blocks")).cast("int"))  # one row for each block's worth of rows
+    taken = kinds.filter("blocks > 1").groupBy("key").agg(F.sum("blocks").cast("int").alias("taken"))
+    pool = kinds.filter("blocks = 1").groupBy("key").agg(F.sum("c").alias("c"), F.sum("w").alias("w")).select("key", blocks.alias("pooled"))
+    plan = taken.join(pool, "key", "full").select("key", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("pooled", F.lit(0)).alias("pooled"))
+    of = stage(rows.join(large.select("key"), "key", "left_semi").withColumn("kind", F.xxhash64("key", "component")), "large-rows")
+    of = join_hot(of, own.select(F.xxhash64("key", "component").alias("kind"), "start", "blocks"), "kind", "left")
+    of = join_hot(stage(of, "large-rows"), plan, "key")
+    first, many = F.coalesce("start", "taken"), F.coalesce("blocks", "pooled")
+    of = of.withColumn("_own", first + F.pmod(F.xxhash64("fp"), many).cast("int")).withColumn("_met", F.sequence(F.lit(0), F.col("taken") + F.col("pooled") - 1))
+    others = F.when(F.col("start").isNull(), F.col("_met")).otherwise(F.filter("_met", lambda x: (x < F.col("start")) | (x >= F.col("start") + F.col("blocks"))))
+    of = of.withColumn("_met", F.explode(others))
+    of = of.withColumn("_group", F.xxhash64("key", F.least("_own", "_met"), F.greatest("_own", "_met"))).withColumn("_side", F.when(F.col("_own") > F.col("_met"), 1).when(F.col("_own") < F.col("_met"), -1).otherwise(0))
+    return small.unionByName(of.select(*small.columns))
+
+
 def in_blocks(rows: DataFrame, again: bool, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of bucket rows (key, fp, n, sketch, count); again: links, with component, bands and s too."""
-    blocks = F.ceil(F.col("count") / F.lit(max(1, BLOCK // 4) if again else BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    met = F.explode(F.when(blocks > 1, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0))))
-    dealt = rows.withColumn("_own", own).withColumn("_met", met).withColumn("_pair", F.struct(F.least("_own", "_met"), F.greatest("_own", "_met"))).drop("_met")
-    dealt = dealt.withColumn("_group", F.xxhash64("key", "_pair")).select("_group", "fp", "n", "sketch", *(["component", "bands", "key", "s"] if again else []))
+    """Candidate pairs (a, b) of rows (_group, _side, fp, n, sketch); again: links, with component, bands, key and s too."""
+    rows = rows.select("_group", "_side", "fp", "n", "sketch", *(["component", "bands", "key", "s"] if again else []))
     least = percent / 100
     limit = odd_bits(least - SLACK)
 
-    def pairs(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, component: np.ndarray | None, bands: np.ndarray | None, band_key: np.ndarray | None, sets: list | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, side: np.ndarray, component: np.ndarray | None, bands: np.ndarray | None, band_key: np.ndarray | None, sets: list | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         m = len(fp)
         if component is None:
             joined, best, parent = np.zeros(m, bool), np.full(m, np.inf), np.zeros(m, np.int64)
@@ -175,7 +215,7 @@ def in_blocks(rows: DataFrame, again: bool, percent: int) -> DataFrame:
         a, b = [], []
         for i in range(m - 1):
             j = np.arange(i + 1, m)
-            j = j[component[j] != component[i]]
+            j = j[(component[j] != component[i]) & ((side[j] != side[i]) | (side[i] == 0))]
             j = j[(np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64) <= limit) & (np.minimum(n[j], n[i]) >= least * np.maximum(n[j], n[i]) - 1e-9)]
             if which:  # pairs that an earlier band has are met there
                 j = j[~(bands[j, :which] == bands[i, :which]).any(1)]
@@ -191,7 +231,7 @@ def in_blocks(rows: DataFrame, again: bool, percent: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def meet(table: pa.Table, groups: np.ndarray) -> Iterator[pa.RecordBatch]:
-            fp, n = table["fp"].to_numpy(), table["n"].to_numpy()
+            fp, n, side = table["fp"].to_numpy(), table["n"].to_numpy(), table["_side"].to_numpy()
             bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
             component = table["component"].to_numpy() if again else None
             key = table["key"].to_numpy() if again else None
@@ -207,7 +247,7 @@ def in_blocks(rows: DataFrame, again: bool, percent: int) -> DataFrame:
             for s, e in zip(cut[:-1][size > 2 - again].tolist(), cut[1:][size > 2 - again].tolist()):
                 bands = np.array(table["bands"].slice(s, e - s).to_pylist(), np.int64) if again else None
                 sets = [v.values.to_numpy(zero_copy_only=False) for v in table["s"].slice(s, e - s)] if again else None
-                for x, y in pairs(fp[s:e], n[s:e], bits[s:e], component[s:e] if again else None, bands, key[s:e] if again else None, sets):
+                for x, y in pairs(fp[s:e], n[s:e], bits[s:e], side[s:e], component[s:e] if again else None, bands, key[s:e] if again else None, sets):
                     a.append(x)
                     b.append(y)
             x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
@@ -230,7 +270,7 @@ def in_blocks(rows: DataFrame, again: bool, percent: int) -> DataFrame:
             table = pa.Table.from_batches(held)
             yield from meet(table, table["_group"].to_numpy())
 
-    return dealt.repartition("_group").sortWithinPartitions("_group").mapInArrow(run, "a long, b long")
+    return rows.repartition("_group").sortWithinPartitions("_group").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -247,34 +287,36 @@ def components(links: DataFrame) -> DataFrame:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # u's larger neighbours
-        large = large.filter("u <> v").distinct()
+        large = join_hot(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # u's larger neighbours
+        large = stage(large.filter("u <> v").distinct(), "cc")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = stage(small.filter("u <> v").distinct(), "cc")
+        small = join_hot(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        old, edges = edges, stage(small.filter("u <> v").distinct(), "cc")
+        discard(old, large)
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def bloom(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over the column h (64-bit hashes), built by bitwise sums."""
-    bits = ids.select(F.explode(F.array(F.shiftrightunsigned("h", 64 - BLOOM), F.shiftrightunsigned(F.shiftleft("h", BLOOM), 64 - BLOOM))).alias("bit"))
+def bloom(ids: DataFrame, size: int) -> np.ndarray:
+    """A Bloom filter of 2 ** size bits over the column h (64-bit hashes), built by bitwise sums."""
+    bits = ids.select(F.explode(F.array(F.shiftrightunsigned("h", 64 - size), F.shiftrightunsigned(F.shiftleft("h", size), 64 - size))).alias("bit"))
     words = bits.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("x")).toArrow()
-    out = np.zeros(1 << BLOOM - 6, np.int64)
+    out = np.zeros(1 << size - 6, np.int64)
     out[words["w"].to_numpy()] = words["x"].to_numpy()
     return out.view(np.uint64)
 
 
 def full_sets(docs: DataFrame, key: str, text: str, needed: DataFrame) -> DataFrame:
-    """(fp, s) for the nodes in needed (fp, id): one document of each, found by a Bloom filter of its id's hash."""
+    """(fp, s) for the nodes in needed (fp, id), a staged table: one document of each, found by a Bloom filter of its id's hash."""
     h = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    mask = docs.sparkSession.sparkContext.broadcast(bloom(needed.select(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null"))).alias("h"))))  # 4 MB
+    size = max(BLOOM[0], min(BLOOM[1], (16 * needed.count()).bit_length()))
+    mask = docs.sparkSession.sparkContext.broadcast(bloom(needed.select(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null"))).alias("h")), size))  # at most 16 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch[0].to_numpy().view(np.uint64)
             hit = np.ones(len(v), bool)
-            for bit in (v >> np.uint64(64 - BLOOM), (v << np.uint64(BLOOM)) >> np.uint64(64 - BLOOM)):
+            for bit in (v >> np.uint64(64 - size), (v << np.uint64(size)) >> np.uint64(64 - size)):
                 hit &= (mask.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)) > 0
             texts = batch[1].filter(pa.array(hit))
             for at in range(0, len(texts), 1024):
@@ -300,31 +342,57 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return one.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def components_met(buckets: DataFrame, roots: DataFrame, light: DataFrame) -> DataFrame:
+    """One row (key, fp, n, sketch, count) for each component of each large bucket that has several."""
+    of = buckets.filter(F.col("count") > BLOCK).select("key", "fp").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    one = stage(of.groupBy("key", F.coalesce("root", "fp").alias("component")).agg(F.min("fp").alias("fp")).select("key", "fp"), "met")
+    counts = one.groupBy("key").count().filter("count > 1")
+    return join_hot(one, counts, "key", counts=counts).join(light, "fp")
+
+
 def grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """(id, h, n, component_id, kept) of every row."""
+    """(id, h, n, fp, root, component_id, kept) of every row; root is null without shingles."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
     sigs = signatures(docs, key, text)
     nodes = stage(sigs.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     rows = nodes.select("fp", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").count().filter("count > 1")
-    buckets = stage(rows.join(shared, "key"), "buckets")
+    counts = stage(rows.groupBy("key").count().filter("count > 1"), "counts")
+    buckets = stage(join_hot(rows, counts, "key", counts=counts), "buckets")
     involved = stage(buckets.select("fp").distinct().join(nodes.select("fp", "id"), "fp"), "involved")
     sets = full_sets(docs, key, text, involved)
     light = nodes.select("fp", "n", "sketch")
-    first = stage(in_blocks(buckets.join(light, "fp"), False, percent).distinct(), "pairs")
-    links = stage(confirm(first, sets, percent), "links")
-    roots = stage(components(links), "roots")
-    named = buckets.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("component", F.coalesce("root", "fp")).drop("root")
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    more = stage(in_blocks(named.join(mixed, "key").join(nodes.select("fp", "n", "sketch", "bands"), "fp").join(sets, "fp"), True, percent).distinct(), "links")
-    if not more.isEmpty():
-        roots = stage(components(links.union(more)), "roots")
-    lead = nodes.select("fp", "id").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = lead.join(lead.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("fp", "component_id")
-    out = sigs.select("id", "h", "n", "fp").join(names, "fp", "left")
+    first = stage(in_blocks(dealt(buckets.join(light, "fp")), False, percent).distinct(), "pairs")
+    links = [stage(confirm(first, sets, percent), "links")]
+    roots = stage(components(links[0]), "roots")
+    discard(counts, involved, first)
+    for _ in range(ROUNDS if not buckets.filter(F.col("count") > BLOCK).isEmpty() else 0):
+        met = stage(in_blocks(dealt(components_met(buckets, roots, light)), False, percent).distinct(), "pairs")
+        more = stage(confirm(met, sets, percent), "links")
+        discard(met)
+        if more.isEmpty():
+            break
+        links.append(more)
+        old, roots = roots, stage(components(reduce(DataFrame.union, links)), "roots")
+        discard(old)
+    named = buckets.select("key", "fp").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("component"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("count")).filter("low <> high")
+    mixed = stage(mixed.select("key", "count"), "mixed")
+    if not mixed.isEmpty():
+        several = stage(join_hot(named, mixed, "key", counts=mixed).select("key", "fp", "component").join(nodes.select("fp", "n"), "fp"), "several")
+        again = dealt_again(several).drop("n")
+        more = stage(in_blocks(again.join(nodes.select("fp", "n", "sketch", "bands"), "fp").join(sets, "fp"), True, percent).distinct(), "links")
+        if not more.isEmpty():
+            links.append(more)
+            roots = stage(components(reduce(DataFrame.union, links)), "roots")
+        discard(several)
+    discard(buckets, sets, mixed)
+    linked = stage(nodes.select("fp", "id").join(roots.select(F.col("node").alias("fp"), "root"), "fp"), "linked")
+    names = linked.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = nodes.select("fp", "id").join(join_hot(linked.select("fp", "root"), names, "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = join_hot(sigs.select("id", "h", "n", "fp"), stage(named, "named"), "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select("id", "h", "n", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select("id", "h", "n", "fp", "root", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -333,7 +401,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """docs without the rows whose component has a smaller id, told by id (null too) and text."""
-    i, h = fresh(docs, "_id"), fresh(docs, "_hash")
-    gone = grouped(docs, key, text, percent).filter("not kept").select(F.col("id").alias(i), F.col("h").alias(h)).distinct()
-    return docs.join(gone, F.col(key).eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(h)), "left_anti").select(*docs.columns)
+    """docs with one row of each component, told by id (null too) and text, and all rows without shingles."""
+    i, h, again = fresh(docs, "_id"), fresh(docs, "_hash"), fresh(docs, "_again")
+    rows = stage(grouped(docs, key, text, percent).select("id", "h", "root", "kept"), "marks")
+    able = rows.filter("kept and root is not null").groupBy("root", "id", "h").count()
+    first = able.groupBy("root").agg(F.min("h").alias("first"))
+    able = able.join(first, "root")
+    gone = rows.filter("not kept").select("id", "h").distinct().union(able.filter("h <> first").select("id", "h"))
+    repeated = able.filter("h = first and count > 1").select("id", "h")
+    told = stage(gone.withColumn("again", F.lit(False)).union(repeated.withColumn("again", F.lit(True))).toDF(i, h, again), "told")
+    same = F.col(f"`{key}`").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(h))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if told.filter(again).isEmpty():
+        return docs.join(told, same, "left_anti").select(*columns)
+    met = docs.join(told, same, "left")
+    once = met.filter(F.col(again)).dropDuplicates([i, h])
+    return met.filter(F.col(again).isNull()).union(once).select(*columns)
