@@ -4,12 +4,14 @@ Each line of a text is described by a few yes/no features; a two-state chain (co
 maximum likelihood is decoded by Viterbi, and the share of word characters in content lines decides retention. Plain
 counting rules over the words come first.
 
-Training uses at most `sample` labelled documents of at most `longest` characters each (the bound of what the driver
-holds), chosen by a hash of the id. A line of a document of quality 0 counts as boilerplate, and so does one that is
-empty of words or repeats an earlier line; other lines of documents of quality 1 count as content.
+Training uses at most `sample` labelled documents, chosen by a hash of the id among those of at most `longest`
+characters and `lines` lines (the bound of what the driver holds); a chosen text is used whole. A line of a document of
+quality 0 counts as boilerplate, and so does one that is empty of words or repeats an earlier line; other lines of
+documents of quality 1 count as content.
 
 Edge cases: a null or empty text has no words and fails the base rules; without usable labels the built-in weights
-hold; repeated documents are judged alike; long texts are read whole.
+hold; of several labels of an id the worst counts, of several texts the one with the least hash; repeated documents
+are judged alike; long texts are read whole; an empty table gives an empty table; columns of any name may stand beside.
 """
 
 from __future__ import annotations
@@ -157,14 +159,16 @@ def train(docs: list[tuple[list[int], list[bool]]]) -> Chain:
     return Chain(w[:k], float(w[k]), change)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", sample: int = 1500, longest: int = 20_000) -> Chain:
-    """Trains on at most `sample` labelled documents."""
-    chosen = labels.filter(F.col(key).isNotNull() & F.col(quality).isin(0, 1)).groupBy(key).agg(F.min(quality).alias("_q")).orderBy(F.xxhash64(key), key).limit(sample)
-    rows = docs.select(key, text).filter(F.length(text) <= longest).join(F.broadcast(chosen), key).select(text, "_q", F.xxhash64(key, text).alias("_o")).limit(2 * sample).collect()
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", sample: int = 1500, longest: int = 20_000, lines: int = 400) -> Chain:
+    """Trains on at most `sample` labelled documents of at most `longest` characters and `lines` lines."""
+    told = labels.filter(F.col(key).isNotNull() & F.col(quality).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.min(quality).alias("q"))
+    able = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter((F.length("t") <= longest) & (F.regexp_count("t", F.lit("\n")) < lines))
+    chosen = able.join(told, "k").select("k", "q").distinct().orderBy(F.xxhash64("k"), "k").limit(sample)
+    rows = able.join(F.broadcast(chosen), "k").groupBy("k", "q").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("x")).collect()  # at most `sample`
     out = []
-    for r in sorted(rows, key=lambda r: r["_o"]):
-        codes, chars, _ = describe(text_bytes(r[text]))
-        out.append((codes[:400], [bool(r["_q"]) and n > 0 and not c >> 5 & 1 for c, n in zip(codes, chars)][:400]))
+    for r in sorted(rows, key=lambda r: (r.x.h, r.k)):
+        codes, chars, _ = describe(text_bytes(r.x.t))
+        out.append((codes, [bool(r.q) and n > 0 and not c >> 5 & 1 for c, n in zip(codes, chars)]))
     return train(out)
 
 
