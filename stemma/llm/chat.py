@@ -9,19 +9,25 @@ mark and a full stop after their first character, and escape marks are doubled;
 A conversation is written as chunks of bounded size, and both passes stream over rows sorted by conversation and
 turn, so that a conversation of any length never has to fit in memory.
 
-Edge cases: null texts and roles are empty; null turns come first, equal turns are ordered by role and text; rows of
-a null conversation form one conversation; long texts are encoded in pieces cut at white space; an empty table gives
-an empty table.
+Words of the tokenizer's own splitter are encoded once and remembered, if its file says that it splits as SPLITTER
+does, and whole segments are encoded otherwise.
+
+Edge cases: null texts and roles are empty; null turns come first, equal turns are ordered by role and text, and
+repeated rows are turns of their own; rows of a null conversation form one conversation; texts of any length are
+encoded as a whole is, since words are; an empty table gives an empty table; columns of any name may stand beside.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +38,11 @@ ESCAPE = "␛"
 #: Strings that mark structure here or in other well-known templates.
 CONTROL = (TURN, TEXT, END, "<|endoftext|>", "<|im_start|>", "<|im_end|>", "<|eot_id|>", "<|start_header_id|>", "<|end_header_id|>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<s>", "</s>")
 _ESCAPING = re.compile("|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL) + f"|{ESCAPE}")
-#: Characters of a text that are encoded at once, and ids after which a chunk is written.
-PIECE, CHUNK = 1 << 16, 1 << 16
+#: Ids after which a chunk is written, and words that a worker remembers.
+CHUNK, REMEMBERED = 1 << 16, 400_000
+#: How a byte-level tokenizer says that it splits texts, and the words that it then makes.
+SPLITTER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 def escape(text: str) -> str:
@@ -49,33 +58,43 @@ class Assembler:
     """Ids of a byte-level tokenizer and, above its vocabulary, of the three marks."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.bare = Tokenizer.from_file(path)
+        self.bare.encode_special_tokens = True
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         size = self.tokenizer.get_vocab_size()
         self.marks = {TURN: size, TEXT: size + 1, END: size + 2}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         back = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        self.letters = {b: c for c, b in back.items()}
         words = [b""] * (size + 3)
         for token, i in self.tokenizer.get_vocab().items():
             words[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         for mark, i in self.marks.items():
             words[i] = mark.encode()
         self.words = words
+        said = json.loads(self.tokenizer.to_str())
+        self.by_word = said["normalizer"] is None and said["pre_tokenizer"] == SPLITTER and said["model"]["type"] == "BPE"
+        self.known: dict[str, list[int]] = {}
 
     def ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        at = 0
-        while at < len(text):
-            end = at + PIECE
-            if end < len(text):
-                end = max(text.rfind(" ", at, end), at) or end
-                end = end if end > at else at + PIECE
-            out += self.tokenizer.encode(text[at:end], add_special_tokens=False).ids
-            at = end
-        return out
+        if not self.by_word:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        parts = _WORD.findall(text)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known = self.known
+        new = [w for w in dict.fromkeys(parts) if w not in known]
+        if new:  # all in one call, as byte letters, which hold no white space
+            e = self.bare.encode(" ".join([w.encode().decode("latin-1").translate(self.letters) for w in new]), add_special_tokens=False)
+            ids, ends = e.ids, np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(new) + 1)).tolist()
+            for i, w in enumerate(new):
+                known[w] = ids[ends[i] : ends[i + 1]]
+        return list(chain.from_iterable([known[w] for w in parts]))
 
 
 _assemblers: dict[str, Assembler] = {}
