@@ -127,6 +127,18 @@ SELECT doc_id, size, s AS source_size, target, (size * (whole + CASE WHEN s > 0
 """
 
 
+def op9_sql() -> str:
+    tree = sharding.HashTree.uniform(SHARDS)
+    key = "coalesce(doc_id::VARCHAR, 'null')"
+    return f"""
+WITH t AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS l FROM range(256) r(i)),
+d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents),
+b AS (SELECT doc_id, len(h) + 8 AS size, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(h, lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(l[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS crc FROM d, t),
+s AS (SELECT *, {tree.shard_sql(key)} AS shard, {tree.grown().shard_sql(key)} AS grown FROM b)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY md5({key}), doc_id, crc, size) - 1)::BIGINT AS slot, grown AS grown_shard FROM s
+"""
+
+
 def op8_sql() -> str:
     def escaped(c: str) -> str:
         """Code points of a text with its escapes."""
@@ -145,4 +157,4 @@ FROM c GROUP BY conv_id
 """
 
 
-ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op5_mix": OP5_SQL, "op7_near_dedup": OP7_SQL, "op8_chat": op8_sql()}
+ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op5_mix": OP5_SQL, "op7_near_dedup": OP7_SQL, "op8_chat": op8_sql(), "op9_shards": op9_sql()}

@@ -5,7 +5,8 @@ wins. A child's share follows its weight, and a change of weights moves keys onl
 weights change. A shard that joins comes as a region of its own, so that keys move only into it.
 
 Edge cases: a null key hashes as the word null; a null text has 0 bytes and the crc of no bytes; rows with equal keys
-go to one shard, each with a slot of its own; an empty table gives an empty table.
+go to one shard, each with a slot of its own, in the order of their texts' crc and size; an empty table gives an empty
+table; long texts are read whole; columns of any name may stand beside, and are not read.
 """
 
 from __future__ import annotations
@@ -103,13 +104,15 @@ def key_text(key: Column) -> Column:
     return F.coalesce(key.cast("string"), F.lit("null"))
 
 
-def assign_shards(docs: DataFrame, tree: HashTree, key: str = "doc_id", text: str = "text", slot_digits: int = 3) -> DataFrame:
+def assign_shards(docs: DataFrame, tree: HashTree, key: str = "doc_id", text: str = "text", cell: int = 50_000) -> DataFrame:
     """(key, size, text_crc32, shard, slot, grown_shard) of every row.
 
     Slots count from 0 without gaps in each shard, ordered by the md5 of the key. They come from counts by shard and
-    leading digits (at most shards * 16 ** slot_digits rows, so small enough to broadcast) and a rank within those,
-    so that no shard is ever sorted as a whole.
+    leading digits, as many as give cells of about `cell` rows, and a rank within those, so that no shard is ever sorted
+    as a whole. The table of counts has one row for some `cell` rows and is joined by a shuffle once it exceeds 100,000.
     """
+    rows_each = docs.count() / max(tree.count, 1)
+    slot_digits = next(d for d in range(1, 16) if rows_each / 16**d <= cell)
     name = key_text(F.col(key))
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(
@@ -123,4 +126,4 @@ def assign_shards(docs: DataFrame, tree: HashTree, key: str = "doc_id", text: st
     counts = rows.groupBy("shard", "_cell").count()
     before = counts.select("shard", "_cell", (F.sum("count").over(Window.partitionBy("shard").orderBy("_cell")) - F.col("count")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("_order", key, "text_crc32", "size")) - 1
-    return rows.withColumn("_within", within).join(F.broadcast(before), ["shard", "_cell"]).select(key, "size", "text_crc32", "shard", (F.col("_before") + F.col("_within")).cast("long").alias("slot"), "grown_shard")
+    return rows.withColumn("_within", within).join(F.broadcast(before) if tree.count * 16**slot_digits <= 100_000 else before, ["shard", "_cell"]).select(key, "size", "text_crc32", "shard", (F.col("_before") + F.col("_within")).cast("long").alias("slot"), "grown_shard")
