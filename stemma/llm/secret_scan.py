@@ -1,12 +1,15 @@
 """Secret scans with structural confirmation.
 
 Patterns give the base findings. Beyond them, runs of base64 (in either alphabet, also over
-several lines) or hex are decoded and reported only where their structure confirms a secret: a token whose header and
-claims are JSON with an algorithm and whose signature decodes, a private key whose nested DER lengths add up, or an
-OpenSSH private key. What base findings decode to is told too.
+several lines) or hex (in either case) are decoded and reported only where their structure confirms a secret: a token
+whose header and claims are JSON with an algorithm and whose signature decodes, a private key whose nested DER lengths
+add up, or an OpenSSH private key. What base findings decode to is told too.
+
+Every pattern reads a run of characters once, or as far as a key can reach (LONGEST characters of base64, more than
+16384-bit RSA takes), so that time grows with the text.
 
 Edge cases: null and empty texts have no findings; findings are in code points; long texts are scanned whole; rows of
-one id are scanned each; an empty table gives an empty table.
+one id are scanned each; an empty table gives an empty table; columns of any name may stand beside, and are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ _WORD = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+_JWT = re.compile(r"(?:(?<![A-Za-z0-9_-])|(?<=%[0-9A-Fa-f]{2}))(?=(eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++))eyJ")
+_ANY_HEX = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{64,}+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 _URL_SAFE = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 #: White space, also as strings write it: backslashes and a letter.
@@ -38,6 +42,7 @@ _BREAKS = re.compile(_BREAK)
 _PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]++|\\+[nrt])++)-----END \1-----")
 #: Where keys in base64 can begin: a DER sequence, or the magic of OpenSSH; and their lines, in either alphabet.
 _MAGIC = "b3BlbnNzaC1r"
+LONGEST = 1 << 15
 _START = re.compile(rf"M(?=[A-Za-z0-9+/_-]{{15}})|{_MAGIC}")
 _LINES = tuple(re.compile(rf"([{a}]+)(={{0,2}})({_BREAK})?") for a in ("A-Za-z0-9+/", "A-Za-z0-9+/_-"))
 
@@ -151,10 +156,10 @@ def wrapped(text: str, at: int) -> tuple[int, int] | None:
     """(kind, end) of a key that begins here and may run over several lines. DER says its length; lines of OpenSSH keys
     have one width but for the first, which can follow something, and the last."""
     ssh = text.startswith(_MAGIC, at)
-    want = 1 << 62 if ssh else der_chars(decode64(text[at : at + 16]))
-    for line in _LINES if want else ():
+    want = LONGEST if ssh else der_chars(decode64(text[at : at + 16]))
+    for line in _LINES if 0 < want <= LONGEST else ():
         parts, ends, pos, total = [], [], at, 0
-        while total < want and (m := line.match(text, pos)):
+        while total < want and (m := line.match(text, pos, min(len(text), pos + want - total + 64))):
             n, width = len(m[1]), len(parts[1]) if len(parts) > 1 else 0
             if ssh and width and n > width:
                 break
@@ -184,7 +189,10 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         base.append((m.start(), 2, m.end()))
         firm += bool(structure(m[0]))
     if "eyJ" in text:
-        more += [(m.start(), 3, m.end()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
+        end = 0
+        for m in _JWT.finditer(text):
+            if m.start() >= end and is_signed_token(m[1]):
+                more.append((m.start(), 3, end := m.end(1)))
     blocks = []
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
@@ -194,7 +202,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
                 blocks.append((m.start(), m.end()))
     for m in _START.finditer(text):
         at = m.start()
-        if at and (text[at - 1].isalnum() or text[at - 1] in "+/") and text[max(0, at - 2) : at] not in ("\\n", "\\r", "\\t"):
+        if at and (text[at - 1].isalnum() or text[at] == "b" and text[at - 1] in "+/") and text[max(0, at - 2) : at] not in ("\\n", "\\r", "\\t"):
             continue
         if not any(s <= at < e for s, e in blocks) and (found := wrapped(text, at)):
             more.append((at, *found))
@@ -207,6 +215,10 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             if found in ("der", "ssh"):
                 more.append((m.start(), KINDS.index(found), m.end()))
                 blocks.append(m.span())
+    for m in _ANY_HEX.finditer(text):
+        data = bytes.fromhex(m[0][: len(m[0]) // 2 * 2])
+        if is_private_key(data) or is_ssh_key(data):
+            more.append((m.start(), KINDS.index("ssh" if data[0] == 0x6F else "der"), m.end()))
     return sorted(base), sorted(more), firm
 
 
