@@ -1,9 +1,10 @@
 """Personal data by patterns, and by bootstrapped contextual extraction.
 
 Base patterns find e-mail addresses, IP addresses, card numbers and phone numbers. They are the seeds of a bipartite
-graph of identifiers and the lexical contexts around them. Rounds of scoring go over it: a context is trusted by the
-share and number of known identifiers among those it surrounds, an identifier by the contexts that surround it.
-Identifier-like tokens, and digits in groups, that trusted contexts reach are reported with the kind of their contexts
+graph of identifiers and the lexical contexts around them. Rounds of scoring go over it until nothing changes, at most
+ROUNDS of them: a context is trusted by the share and number of known identifiers among those it surrounds, an
+identifier by the contexts that surround it. A context is the two words before, or one word on either side, as far as
+they lie within 64 characters before and 48 after; longer words have no context. Identifier-like tokens, and digits in groups, that trusted contexts reach are reported with the kind of their contexts
 (groups of 6 to 19 digits, as cards and phones only; a token inside a reported group is not told apart). All of it is
 DataFrame operations; a text is read once and no text is shuffled.
 
@@ -11,7 +12,9 @@ Patterns are written so that each position is tried once: a run of characters is
 every later start within it would fail alike.
 
 Edge cases: a null text is empty; spans are in code points, ends exclusive; a found span that overlaps a base span is
-dropped; rows of one id are scanned each; long texts are scanned whole; an empty table gives an empty table.
+dropped; rows of one id are scanned each; long texts are scanned whole; an empty table gives an empty table; columns
+of any name may stand beside, and are not read. A context or value with a large share of all edges is joined by
+broadcast of its row.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, join_hot, stage
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -37,7 +40,7 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 _NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "token": "[0-9@]", "group": r"[0-9](?:\)|[\x20./-]\(?[0-9])"}
 #: Rounds of scoring, known identifiers that a context needs, trust that makes a context or an identifier count.
-ROUNDS, SUPPORT, CONTEXT_TRUST, TRUST = 2, 4, 0.6, 0.8
+ROUNDS, SUPPORT, CONTEXT_TRUST, TRUST = 8, 4, 0.6, 0.8
 
 
 def digits(c: Column) -> Column:
@@ -102,18 +105,28 @@ def contexts(spans: DataFrame) -> DataFrame:
 
 
 def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> DataFrame:
-    """(value, kind, trust) of what contexts discover beyond the seeds (value, kind)."""
-    known = seeds.select("value", "kind", F.lit(1.0).alias("trust")).distinct()
-    first = known
-    held = edges.groupBy("pattern").agg(F.count("*").alias("held"))
+    """(value, kind, trust) of what contexts discover beyond the seeds (value, kind). edges (value, pattern) is a staged table."""
+    first = stage(seeds.select("value", "kind").distinct(), "pii-seeds")
+    held = stage(edges.groupBy("pattern").count(), "pii-patterns")
+    uses = stage(edges.groupBy("value").count(), "pii-values")
+    kinds = F.map_from_entries(F.collect_list(F.struct("kind", "trust")))  # at most one entry for each of KINDS
+    found, was = None, None
     for _ in range(rounds):
-        near = edges.join(known, "value").groupBy("pattern", "kind").agg(F.sum("trust").alias("mass"), F.count("*").alias("n"))
-        trusted = near.filter(F.col("n") >= support).join(held, "pattern").withColumn("c", F.col("mass") / F.col("held") * (1 - 1 / (1 + F.col("n")))).filter(F.col("c") >= CONTEXT_TRUST)
-        reached = edges.join(trusted.select("pattern", "kind", "c"), "pattern").join(first.select("value").distinct(), "value", "left_anti")
+        known = first.withColumn("trust", F.lit(1.0))
+        known = known if found is None else known.unionByName(found)
+        near = join_hot(edges, known.groupBy("value").agg(kinds.alias("kinds")), "value", counts=uses).select("pattern", F.explode("kinds").alias("kind", "trust"))
+        near = near.groupBy("pattern", "kind").agg(F.sum("trust").alias("mass"), F.count("*").alias("n")).filter(F.col("n") >= support)
+        trusted = near.join(held, "pattern").withColumn("trust", F.col("mass") / F.col("count") * (1 - 1 / (1 + F.col("n")))).filter(F.col("trust") >= CONTEXT_TRUST)
+        reached = join_hot(edges, trusted.groupBy("pattern").agg(kinds.alias("kinds")), "pattern", counts=held).select("value", F.explode("kinds").alias("kind", "c"))
         scored = reached.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("c"))))).alias("trust")).filter(F.col("trust") >= TRUST)
         best = scored.groupBy("value").agg(F.max_by("kind", F.struct("trust", "kind")).alias("kind"), F.max("trust").alias("trust"))
-        found = stage(best, "pii-found")
-        known = first.unionByName(found)
+        old, found = found, stage(best.join(first.select("value").distinct(), "value", "left_anti"), "pii-found")
+        if old is not None:
+            discard(old)
+        now = tuple(found.agg(F.count("*"), F.sum(F.xxhash64("value", "kind").cast("decimal(38,0)"))).first())
+        if now == was or not now[0]:
+            break
+        was = now
     return found
 
 
