@@ -161,7 +161,7 @@ def wrapped(text: str, at: int) -> tuple[int, int] | None:
         parts, ends, pos, total = [], [], at, 0
         while total < want and (m := line.match(text, pos, min(len(text), pos + want - total + 64))):
             n, width = len(m[1]), len(parts[1]) if len(parts) > 1 else 0
-            if ssh and width and n > width:
+            if ssh and parts and (width and n > width or m[1].startswith(_MAGIC)):
                 break
             parts.append(m[1])
             ends.append(m.end(2))

@@ -256,7 +256,34 @@ def test_licenses(spark):
     for i, (name, _) in enumerate(licenses.TEMPLATES):
         assert name in got[i]["licenses"].split(","), (name, got[i]["licenses"])
     assert [got[i]["licenses"] for i in (90, 91, 92, 93, 94)] == ["", "", "unknown", "", "MIT"]
-    assert got[0]["permissive"] and got[93]["permissive"] is None and got[8]["licenses"] == "GPL-2.0"
+    gpl2 = [t for _, t in licenses.TEMPLATES].index("This work is licensed under the GNU General Public License, version 2.")
+    assert got[0]["permissive"] and got[93]["permissive"] is None and got[gpl2]["licenses"] == "GPL-2.0"
+    df = spark.createDataFrame([(1, "All rights reserved.", 5), (1, "All rights reserved.", 5), (None, "x", 6)], "doc_id long, text string, findings int")
+    assert sorted((r.doc_id or 0, r.licenses) for r in licenses.scan_licenses(df).collect()) == [(0, ""), (1, "Proprietary"), (1, "Proprietary")]
+    assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_licenses_by_brute_force_of_every_template():
+    scanner = licenses.Scanner()
+    for name, t in licenses.TEMPLATES:
+        assert licenses._CUE.search(t), t  # else no region would hold it
+        for text in (t, f"x {t} y", "a b c\n" * 200 + textwrap.fill(t, 50) + "\nd e f" * 200, t.upper(), " ".join(f"{w}" for w in t.split())):
+            assert [f["license"] for f in scanner.scan(text)] == [name], (name, text[:60])
+        half = " ".join(t.split()[: len(t.split()) // 2])
+        assert name not in [f["license"] for f in scanner.scan(half)] or any(n == name and u != t and licenses.tokens(u) == licenses.tokens(half)[: len(licenses.tokens(u))] for n, u in licenses.TEMPLATES)
+
+
+def test_licenses_in_a_row_and_in_tags():
+    scanner = licenses.Scanner()
+    names = lambda t: sorted(f["license"] for f in scanner.scan(t))
+    nine = ["Apache-2.0", "MIT", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC-BY-4.0", "Proprietary"]
+    one = {n: t for n, t in reversed(licenses.TEMPLATES)}
+    assert names(" ".join(one[n] for n in nine)) == sorted(nine)
+    assert names("Licensed under CC BY-SA 4.0.") == ["CC-BY-SA-4.0"] and names("Licensed under CC BY-NC 4.0.") == ["CC-BY-NC-4.0"]
+    assert names("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\nx") == ["Apache-2.0", "BSD-3-Clause", "MIT"]
+    assert names("// SPDX-License-Identifier: GPL-2.0-or-later\n// SPDX-License-Identifier: MIT") == ["GPL-2.0", "MIT"]
+    assert names("SPDX-License-Identifier: Bison-1.0") == ["unknown"]
+    assert names("license " * 20_000) == []
 
 
 def test_licenses_wrapped_behind_comment_marks():
