@@ -2,8 +2,9 @@
 
 Base patterns find e-mail addresses, IP addresses, card numbers and phone numbers. They are the seeds of a bipartite
 graph of identifiers and the lexical contexts around them. Rounds of scoring go over it until nothing changes, at most
-ROUNDS of them: a context is trusted by the share and number of known identifiers among those it surrounds, an
-identifier by the contexts that surround it. A context is the two words before, or one word on either side, as far as
+ROUNDS of them: a context is trusted by the share and number of known identifiers of a kind among what it surrounds,
+where what is not known yet, but looks like an identifier, counts half against it; an identifier is trusted by the
+contexts that surround it. A context is the two words before, or one word on either side, as far as
 they lie within 64 characters before and 48 after; longer words have no context. Identifier-like tokens, and digits in groups, that trusted contexts reach are reported with the kind of their contexts
 (groups of 6 to 19 digits, as cards and phones only; a token inside a reported group is not told apart). All of it is
 DataFrame operations; a text is read once and no text is shuffled.
@@ -41,6 +42,8 @@ PATTERNS = {
 _NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "token": "[0-9@]", "group": r"[0-9](?:\)|[\x20./-]\(?[0-9])"}
 #: Rounds of scoring, known identifiers that a context needs, trust that makes a context or an identifier count.
 ROUNDS, SUPPORT, CONTEXT_TRUST, TRUST = 8, 4, 0.6, 0.8
+#: What an instance that is not known yet counts against its context.
+UNKNOWN = 0.5
 
 
 def digits(c: Column) -> Column:
@@ -115,8 +118,11 @@ def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, support:
         known = first.withColumn("trust", F.lit(1.0))
         known = known if found is None else known.unionByName(found)
         near = join_hot(edges, known.groupBy("value").agg(kinds.alias("kinds")), "value", counts=uses).select("pattern", F.explode("kinds").alias("kind", "trust"))
-        near = near.groupBy("pattern", "kind").agg(F.sum("trust").alias("mass"), F.count("*").alias("n")).filter(F.col("n") >= support)
-        trusted = near.join(held, "pattern").withColumn("trust", F.col("mass") / F.col("count") * (1 - 1 / (1 + F.col("n")))).filter(F.col("trust") >= CONTEXT_TRUST)
+        near = near.groupBy("pattern", "kind").agg(F.sum("trust").alias("mass"), F.count("*").alias("n"))
+        known_n = F.sum("n").over(Window.partitionBy("pattern"))  # a row for each of KINDS
+        near = near.withColumn("all", known_n).filter(F.col("n") >= support).join(held, "pattern")
+        against = F.col("all") + UNKNOWN * F.greatest(F.col("count") - F.col("all"), F.lit(0))
+        trusted = near.withColumn("trust", F.col("mass") / against * (1 - 1 / (1 + F.col("n")))).filter(F.col("trust") >= CONTEXT_TRUST)
         reached = join_hot(edges, trusted.groupBy("pattern").agg(kinds.alias("kinds")), "pattern", counts=held).select("value", F.explode("kinds").alias("kind", "c"))
         scored = reached.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("c"))))).alias("trust")).filter(F.col("trust") >= TRUST)
         best = scored.groupBy("value").agg(F.max_by("kind", F.struct("trust", "kind")).alias("kind"), F.max("trust").alias("trust"))
