@@ -15,27 +15,27 @@ SHARDS = 24
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or the line labels reject go."""
+    """Documents that the rules or the line labels reject go; repeated rows are judged alike, null ids are no hindrance."""
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
+    """One row of each group stays, that of the least id (null ids last); of rows with that id, one; rows without words all stay."""
     return near_dedup.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
+    """Documents that hold benchmark passages go; null items and texts hold none, repeated rows are judged alike."""
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; a null source is one of its own, rows of one id are taken together."""
     return mixing.apply_mix(docs, F.array("source"))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each row goes."""
+    """Where each row goes; rows of one id, and those with null, go to one shard and have slots of their own."""
     return sharding.assign_shards(docs, sharding.HashTree.uniform(SHARDS))
 
 
