@@ -32,7 +32,7 @@ from .common import fresh, ship, stage, text_bytes
 WINDOW = 13
 #: Bytes of benchmark text in a block, and of training text in a shard.
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 #: Digits, letters and everything beyond ASCII make words; A-Z become a-z.
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
