@@ -8,14 +8,39 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import ensure_checkpoints
+from ..sources.tables import ensure_checkpoints, staged
+from . import stats
+
+#: Items of a group that meet in one task, and rows of a block of vectors.
+MET, BLOCK = 1024, 4096
 
 
 def pairs_sharing(edges: DataFrame, item: str, group: str, least: int) -> DataFrame:
-    """(a, b, weight): pairs of items in at least `least` common groups, of all items of every group."""
+    """(a, b, weight): pairs of items in at least `least` common groups, of all items of every group.
+
+    A group of more than MET items is dealt into blocks, pairs of blocks meeting in different tasks.
+    """
     held = edges.select(group, item)
-    left, right = held.withColumnRenamed(item, "a"), held.withColumnRenamed(item, "b")
-    return left.join(right, group).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
+    blocks = F.ceil(F.col("_n") / F.lit(MET)).cast("int")
+    size = held.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") > MET)
+    large = held.join(size, group).withColumn("_own", F.pmod(F.xxhash64(item), blocks).cast("int"))
+
+    def plain(rows: DataFrame, name: str) -> DataFrame:
+        return rows.withColumnRenamed(item, name)
+
+    few = held.join(size.select(group), group, "left_anti")
+    small = plain(few, "a").join(plain(few, "b"), group).filter("a < b").select("a", "b")
+    left = large.withColumn("_hi", F.explode(F.sequence("_own", blocks - 1))).select(group, F.col("_own").alias("_lo"), "_hi", F.col(item).alias("a"))
+    right = large.withColumn("_lo", F.explode(F.sequence(F.lit(0), "_own"))).select(group, "_lo", F.col("_own").alias("_hi"), F.col(item).alias("b"))
+    met = left.join(right, [group, "_lo", "_hi"]).filter((F.col("_lo") < F.col("_hi")) | (F.col("a") < F.col("b")))
+    every = small.union(met.select(F.least("a", "b"), F.greatest("a", "b")))
+    return every.groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
+
+
+def first_items(edges: DataFrame, item: str, group: str, most: int) -> DataFrame:
+    """The first `most` items of each group, in order; a reference list that is longer counts no further."""
+    w = Window.partitionBy(group).orderBy(item)
+    return edges.select(group, item).distinct().withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= most).drop("_i")
 
 
 def adaptive_threshold(pairs: DataFrame, floor: int = 2) -> DataFrame:
@@ -42,22 +67,28 @@ def idf_jaccard(edges: DataFrame, doc: str, item: str, most: int, least: float)
     return out.withColumn("similarity", F.col("s") / (F.col("na") + F.col("nb") - F.col("s") + 1e-9)).filter(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
-def blockwise(vectors: DataFrame, key: str, vector: str, group: str, blocks: int, run, schema: str) -> DataFrame:
-    """run(left, right) for every pair of blocks of vectors: each row goes to as many tasks as there are blocks."""
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(group).alias("g")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+def blockwise(vectors: DataFrame, key: str, vector: str, group: str, blocks: int | None, run, schema: str) -> DataFrame:
+    """run(ids, groups, vectors of length one, left, right, same) for every pair of blocks of vectors.
+
+    Blocks hold about BLOCK vectors, so that a task holds two and a product of them; each vector goes to as many tasks as there are blocks. Null vectors go.
+    """
+    rows = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(group).alias("g"))
+    blocks = blocks or max(1, -(-rows.count() // BLOCK))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     dealt = rows.withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("lo", F.least("own", "met")).withColumn("hi", F.greatest("own", "met"))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
         m = np.vstack(pdf["v"].to_numpy()).astype(float)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
         own, lo, hi = pdf["own"].to_numpy(), pdf["lo"].iloc[0], pdf["hi"].iloc[0]
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         return run(pdf["id"].to_numpy(), pdf["g"].to_numpy(), m, left, right, lo == hi)
 
-    return dealt.groupBy("lo", "hi").applyInPandas(meet, schema)
+    return dealt.groupBy("lo", "hi").applyInPandas(meet, schema.format(vectors.schema[key].dataType.simpleString()))
 
 
-def bridges(vectors: DataFrame, key: str, vector: str, group: str, least: float, blocks: int = 4) -> DataFrame:
+def bridges(vectors: DataFrame, key: str, vector: str, group: str, least: float, blocks: int | None = None) -> DataFrame:
     """(a, b, cosine): pairs of different groups with at least this cosine."""
 
     def run(ids, groups, m, left, right, same):
@@ -67,23 +98,23 @@ def bridges(vectors: DataFrame, key: str, vector: str, group: str, least: float,
         keep = x < y if same else np.ones(len(x), bool)
         return pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep], "cosine": c[i, j][keep]})
 
-    return blockwise(vectors, key, vector, group, blocks, run, "a long, b long, cosine double")
+    return blockwise(vectors, key, vector, group, blocks, run, "a {0}, b {0}, cosine double")
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, group: str, k: int, blocks: int = 4) -> DataFrame:
-    """(id, other, cosine, rank): the k nearest of each row, exactly; blocks give their best k, ranks follow."""
+def nearest(vectors: DataFrame, key: str, vector: str, group: str, k: int, blocks: int | None = None) -> DataFrame:
+    """(id, other, cosine, rank): the k nearest of each row, exactly, by cosine to nine digits and then by id; blocks give their best k, ranks follow."""
 
     def run(ids, groups, m, left, right, same):
         out = []
         for x, y in ((left, right),) if same else ((left, right), (right, left)):
             c = m[x] @ m[y].T
             c[ids[x][:, None] == ids[y][None, :]] = -2
-            best = np.argsort(-c, axis=1, kind="stable")[:, : k + 4]
+            best = np.argsort(-np.round(c, 9), axis=1, kind="stable")[:, :k]  # rows come by id
             out.append(pd.DataFrame({"id": np.repeat(ids[x], best.shape[1]), "other": ids[y][best.ravel()], "cosine": np.take_along_axis(c, best, 1).ravel()}))
         out = pd.concat(out)
         return out[out["cosine"] > -2]
 
-    found = blockwise(vectors, key, vector, group, blocks, run, "id long, other long, cosine double")
+    found = blockwise(vectors, key, vector, group, blocks, run, "id {0}, other {0}, cosine double")
     w = Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 9)), "other")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -116,37 +147,102 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, r
     return ranks.select("node", "rank")
 
 
-def path_counts(edges: DataFrame) -> DataFrame:
-    """(src, dst, spc) of an acyclic graph (src, dst): paths from sources to src times paths from dst to sinks.
+def settled(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, n), paths that reach each node of (src, dst) from nodes that nothing reaches, level by level; and the nodes that are never settled, on a cycle or behind one."""
+    waiting = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("left"), F.lit(0.0).alias("n"))
+    ready = e.select(F.col("src").alias("node")).distinct().join(waiting, "node", "left_anti").select("node", F.lit(1.0).alias("n")).checkpoint()
+    done, rounds = ready, 0
+    while not ready.isEmpty():
+        sent = e.join(ready.select(F.col("node").alias("src"), F.col("n").alias("_n")), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("_c"), F.sum("_n").alias("_s"))
+        waiting = waiting.join(sent, "node", "left").select("node", (F.col("left") - F.coalesce("_c", F.lit(0))).alias("left"), (F.col("n") + F.coalesce("_s", F.lit(0.0))).alias("n")).checkpoint()
+        ready = waiting.filter("left = 0").select("node", "n").checkpoint()
+        waiting = waiting.filter("left > 0")
+        done, rounds = done.union(ready), rounds + 1
+        done = done.checkpoint() if rounds % 10 == 0 else done
+    return done, waiting.select("node")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of cycles of (src, dst); component is the least node of its strongly connected part.
 
-    Counts are settled level by level: a node is done once all its predecessors are.
+    Every node gets the least node that reaches it; within one such colour, what reaches that node is its component. What is left is coloured again.
     """
     ensure_checkpoints(edges.sparkSession)
-    edges = edges.select("src", "dst").checkpoint()
+    left, found = edges.select("src", "dst").filter("src <> dst").distinct().checkpoint(), None
+    while not left.isEmpty():
+        colour = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("c", F.col("node")).checkpoint()
+        while True:
+            got = left.join(colour.select(F.col("node").alias("src"), "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("_c"))
+            new = colour.join(got, "node", "left").select("node", F.col("c").alias("_old"), F.least("c", "_c").alias("c")).checkpoint()
+            colour = new.select("node", "c")
+            if new.filter("c <> _old").isEmpty():
+                break
+        same = left.join(colour.toDF("src", "c"), "src").join(colour.toDF("dst", "d"), "dst").filter("c = d").select("src", "dst", "c").checkpoint()
+        reach = colour.filter("node = c").checkpoint()
+        front = reach
+        while not front.isEmpty():
+            front = same.join(front.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "c").distinct().join(reach.select("node"), "node", "left_anti").checkpoint()
+            reach = reach.union(front)
+        reach = reach.checkpoint()
+        found = reach if found is None else found.union(reach)
+        gone = reach.select("node")
+        left = left.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst").checkpoint()
+    if found is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    several = found.groupBy("c").count().filter("count > 1").select("c")
+    return found.join(several, "c").select("node", F.col("c").alias("component"))
+
+
+def reversed_edges(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def condensed(edges: DataFrame, stuck: DataFrame, behind: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, dst, from, to) of the edges between strongly connected parts, with their parts, and (node, component) of the parts that are cycles.
+
+    Only what is on a cycle or between cycles is looked at: what can be settled from neither end (stuck, behind).
+    """
+    core = stuck.join(behind, "node", "left_semi").checkpoint()
+    inside = edges.join(core.toDF("src"), "src", "left_semi").join(core.toDF("dst"), "dst", "left_semi").select("src", "dst")
+    parts = strong_components(inside).checkpoint()
+    out = edges.join(parts.toDF("src", "_from"), "src", "left").join(parts.toDF("dst", "_to"), "dst", "left")
+    return staged(out.select("src", "dst", F.coalesce("_from", "src").alias("from"), F.coalesce("_to", "dst").alias("to")).filter(F.col("from") != F.col("to"))), parts
+
 
-    def counts(e: DataFrame) -> DataFrame:
-        """(node, n): paths that reach each node along e from nodes that nothing reaches."""
-        waiting = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("left"), F.lit(0.0).alias("n"))
-        ready = e.select(F.col("src").alias("node")).distinct().join(waiting, "node", "left_anti").select("node", F.lit(1.0).alias("n")).checkpoint()
-        done = ready
-        while not ready.isEmpty():
-            sent = e.join(ready.select(F.col("node").alias("src"), F.col("n").alias("_n")), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("_c"), F.sum("_n").alias("_s"))
-            waiting = waiting.join(sent, "node", "left").select("node", (F.col("left") - F.coalesce("_c", F.lit(0))).alias("left"), (F.col("n") + F.coalesce("_s", F.lit(0.0))).alias("n")).checkpoint()
-            ready = waiting.filter("left = 0").select("node", "n").checkpoint()
-            waiting = waiting.filter("left > 0")
-            done = done.union(ready)
-        return done
+def path_counts(edges: DataFrame) -> DataFrame:
+    """(src, dst, spc) of a graph (src, dst): paths from sources to src times paths from dst to sinks.
 
-    f, g = counts(edges), counts(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return edges.join(f.toDF("src", "f"), "src").join(g.toDF("dst", "g"), "dst").select("src", "dst", (F.col("f") * F.col("g")).alias("spc"))
+    Cycles are taken as one node each; edges inside them have no count, and edges that join the same two share theirs equally.
+    """
+    edges = staged(edges.select("src", "dst").filter("src <> dst").distinct())
+    f, stuck = settled(edges)
+    g, behind = settled(reversed_edges(edges))
+    if stuck.isEmpty():
+        return edges.join(f.toDF("src", "f"), "src").join(g.toDF("dst", "g"), "dst").select("src", "dst", (F.col("f") * F.col("g")).alias("spc"))
+    between, _ = condensed(edges, stuck, behind)
+    parallel = staged(between.groupBy("from", "to").agg(F.count("*").alias("n")))
+    dag = parallel.select(F.col("from").alias("src"), F.col("to").alias("dst"))
+    f, g = settled(dag)[0], settled(reversed_edges(dag))[0]
+    spc = parallel.join(f.toDF("from", "f"), "from").join(g.toDF("to", "g"), "to").select("from", "to", (F.col("f") * F.col("g") / F.col("n")).alias("spc"))
+    return between.join(spc, ["from", "to"]).select("src", "dst", "spc")
+
+
+def cycle_audit(edges: DataFrame, years: DataFrame) -> DataFrame:
+    """(component, size, intra_edges, year_min, year_max) of the cycles of (src, dst); years (node, year)."""
+    edges = staged(edges.select("src", "dst").filter("src <> dst").distinct())
+    stuck, behind = settled(edges)[1], settled(reversed_edges(edges))[1]
+    parts = condensed(edges, stuck, behind)[1]
+    size = parts.join(years, "node", "left").groupBy("component").agg(F.count("*").alias("size"), F.min("year").alias("year_min"), F.max("year").alias("year_max"))
+    inside = edges.join(parts.toDF("src", "component"), "src").join(parts.toDF("dst", "_to"), "dst").filter("component = _to").groupBy("component").agg(F.count("*").alias("intra_edges"))
+    return size.join(inside, "component")
 
 
 def main_path(edges: DataFrame, share: float = 0.01) -> DataFrame:
     """(src, dst, spc, weight, is_main): weight ln(spc + 1); main edges reach the weight at index int(n * share) - 1."""
     e = path_counts(edges).withColumn("weight", F.log1p("spc")).checkpoint()
-    at = max(0, int(e.count() * share) - 1)
-    cut = e.select("weight").orderBy(F.desc("weight")).limit(at + 1).agg(F.min("weight").alias("_cut"))
-    return e.crossJoin(F.broadcast(cut)).withColumn("is_main", F.col("weight") >= F.col("_cut")).drop("_cut")
+    n = e.count()
+    cut = stats.value_at(e, "spc", n - 1 - max(0, int(n * share) - 1)) if n else None
+    return e.withColumn("is_main", F.col("spc") >= F.lit(cut))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import ensure_checkpoints
 
+#: Values of a group that are sorted in one task.
+GROUP = 100_000
+
 
 def ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """df with _i, the 0-based rank of value in its group, and _n, the group's size; nulls go."""
@@ -16,21 +20,84 @@ def ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
 
 
+def large_groups(df: DataFrame, keys: list[str], value: str) -> DataFrame | None:
+    """(keys, _n) of the groups with more than GROUP values, as many as one in GROUP rows; None without any."""
+    n = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > GROUP)
+    return None if n.isEmpty() else n
+
+
+def same_keys(a: str, b: str, keys: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
+
+
+def values_at(df: DataFrame, keys: list[str], value: str, large: DataFrame, index: dict[str, Column]) -> DataFrame:
+    """(keys, _n, one value for each index, with _below and _upto counts) of large groups: the value at each 0-based index of the sorted group.
+
+    Approximate percentiles bracket each index, so that only values within the bracket are counted one by one; no group is sorted in one task.
+    """
+    rows = df.alias("r").join(F.broadcast(large).alias("l"), same_keys("r", "l", keys), "inner").select(*[F.col(f"r.{k}").alias(k) for k in keys], F.col(f"r.{value}").alias("_v"), "l._n").filter("_v is not null")
+    out = large
+    for name, at in index.items():
+        q = at / F.greatest(F.col("_n") - 1, F.lit(1))
+        marks = [i / 64 for i in range(65)]
+        grid = rows.groupBy(*keys).agg(F.first("_n").alias("_n"), F.percentile_approx("_v", marks, 10_000).alias("_g")).withColumn("_q", F.floor(q * 64).cast("int"))
+        grid = grid.select(*keys, "_n", at.alias("_at"), F.get("_g", F.greatest(F.col("_q") - 1, F.lit(0))).alias("_lo"), F.get("_g", F.least(F.col("_q") + 2, F.lit(64))).alias("_hi"))
+        met = rows.alias("r").join(F.broadcast(grid).alias("g"), same_keys("r", "g", keys)).select(*[F.col(f"r.{k}").alias(k) for k in keys], "_v", "_at", "_lo", "_hi")
+        below = met.groupBy(*keys).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.first("_at").alias("_at"))
+        inside = met.filter(F.col("_v").between(F.col("_lo"), F.col("_hi"))).groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+        w = Window.partitionBy(*keys).orderBy("_v")  # different values within the bracket
+        reached = inside.withColumn("_upto", F.sum("_c").over(w)).alias("i").join(F.broadcast(below).alias("b"), same_keys("i", "b", keys))
+        hit = reached.filter(F.col("_upto") + F.col("_below") > F.col("_at")).groupBy(*[F.col(f"i.{k}").alias(k) for k in keys]).agg(F.min(F.struct("_v", (F.col("_upto") + F.col("_below")).alias("upto"), (F.col("_upto") + F.col("_below") - F.col("_c")).alias("below"))).alias(name))
+        out = out.alias("o").join(hit.alias("h"), same_keys("o", "h", keys), "left").select("o.*", f"h.{name}")
+    return out
+
+
+def _by_size(df: DataFrame, keys: list[str], value: str, window, bracket) -> DataFrame:
+    """Groups of up to GROUP values by a window, others by brackets."""
+    large = large_groups(df, keys, value)
+    if large is None:
+        return window(df)
+    small = df.alias("d").join(F.broadcast(large).alias("l"), same_keys("d", "l", keys), "left_anti").select("d.*")
+    return window(small).unionByName(bracket(large))
+
+
 def truncated_percentile(df: DataFrame, keys: list[str], value: str, q: float, least: float | None = None) -> DataFrame:
     """The value at index int(q * (n - 1)) of the sorted group, at least `least`."""
-    picked = ranked(df, keys, value).filter(F.col("_i") == F.floor(F.lit(q) * (F.col("_n") - 1)))
-    return picked.select(*keys, (F.greatest(F.col(value), F.lit(least)) if least is not None else F.col(value)).alias("p"))
+    out = _at_index(df, keys, value, lambda n: F.floor(F.lit(q) * (n - 1)))
+    return out.withColumn("p", F.greatest("p", F.lit(least))) if least is not None else out
 
 
 def nearest_percentile(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
     """The value at index round((n - 1) * q), halves to even."""
-    return ranked(df, keys, value).filter(F.col("_i") == F.bround(F.lit(q) * (F.col("_n") - 1))).select(*keys, F.col(value).alias("p"))
+    return _at_index(df, keys, value, lambda n: F.bround(F.lit(q) * (n - 1)))
+
+
+def _at_index(df: DataFrame, keys: list[str], value: str, index) -> DataFrame:
+    def window(rows: DataFrame) -> DataFrame:
+        return ranked(rows, keys, value).filter(F.col("_i") == index(F.col("_n"))).select(*keys, F.col(value).alias("p"))
+
+    def bracket(large: DataFrame) -> DataFrame:
+        return values_at(df, keys, value, large, {"x": index(F.col("_n"))}).select(*keys, F.col("x._v").alias("p"))
+
+    return _by_size(df, keys, value, window, bracket)
 
 
 def trimmed_mean(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
     """The mean without floor(n * share) values at either end; share is at most 0.49."""
     k = F.floor(F.col("_n") * F.lit(min(share, 0.49)))
-    return ranked(df, keys, value).filter((F.col("_i") >= k) & (F.col("_i") < F.col("_n") - k)).groupBy(*keys).agg(F.avg(value).alias("mean"))
+
+    def window(rows: DataFrame) -> DataFrame:
+        return ranked(rows, keys, value).filter((F.col("_i") >= k) & (F.col("_i") < F.col("_n") - k)).groupBy(*keys).agg(F.avg(value).alias("mean"))
+
+    def bracket(large: DataFrame) -> DataFrame:
+        ends = values_at(df, keys, value, large, {"a": k, "b": F.col("_n") - k - 1})
+        rows = df.alias("r").join(F.broadcast(ends).alias("e"), same_keys("r", "e", keys)).filter((F.col(f"r.{value}") > F.col("e.a._v")) & (F.col(f"r.{value}") < F.col("e.b._v")))
+        mid = rows.groupBy(*[F.col(f"r.{x}").alias(x) for x in keys]).agg(F.sum(F.col(f"r.{value}")).alias("_s"))
+        got = ends.alias("e").join(F.broadcast(mid).alias("m"), same_keys("e", "m", keys), "left").select("e.*", "m._s")
+        edges = F.col("a._v") * (F.col("a.upto") - k) + F.col("b._v") * (F.col("_n") - k - F.col("b.below"))
+        return got.select(*keys, F.when(F.col("a._v") == F.col("b._v"), F.col("a._v")).otherwise((F.coalesce("_s", F.lit(0.0)) + edges) / (F.col("_n") - 2 * k)).alias("mean"))
+
+    return _by_size(df, keys, value, window, bracket)
 
 
 def consistency(value: str) -> Column:
@@ -71,21 +138,27 @@ def auc_by(df: DataFrame, key: str, y: str, score: str) -> DataFrame:
     return g.filter("p > 0 and q > 0").select(key, ((F.col("rs") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
 
 
-def order_statistic(df: DataFrame, value: str, q: float, least: float | None = None) -> float | None:
-    """The value at index int(q * (n - 1)) of the whole column sorted, at least `least`; None without values.
+def value_at(df: DataFrame, value: str, index: int) -> float:
+    """The value at a 0-based index of the whole column sorted, nulls apart.
 
     An approximate quantile brackets it, so that only the values within the bracket meet in one task, counted by value.
     """
     v = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
     n = v.count()
-    if not n:
-        return None
-    slack = max(2e-5, 2 / n)
+    q, slack = index / max(n - 1, 1), max(2e-5, 2 / n)
     low, high = v.agg(F.percentile_approx("v", [max(0.0, q - slack), min(1.0, q + slack)], 100_000).alias("b")).first().b
     below = v.filter(F.col("v") < low).count()
     inside = v.filter(F.col("v").between(low, high)).groupBy("v").count()
-    reached = inside.withColumn("upto", F.sum("count").over(Window.orderBy("v"))).filter(F.col("upto") + below > math.floor(q * (n - 1)))
-    found = reached.agg(F.min("v").alias("v")).first().v
+    reached = inside.withColumn("upto", F.sum("count").over(Window.orderBy("v"))).filter(F.col("upto") + below > index)
+    return reached.agg(F.min("v").alias("v")).first().v
+
+
+def order_statistic(df: DataFrame, value: str, q: float, least: float | None = None) -> float | None:
+    """The value at index int(q * (n - 1)) of the whole column sorted, at least `least`; None without values."""
+    n = df.filter(F.col(value).isNotNull()).count()
+    if not n:
+        return None
+    found = value_at(df, value, math.floor(q * (n - 1)))
     return found if least is None else max(found, least)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as c
 from ..operators import graph, relational, search, stats
-from ..sources.tables import BASKETS_SQL, FOLLOW_SQL, baskets, follow_ups, table, with_schema
+from ..sources.tables import BASKETS_SQL, FOLLOW_SQL, baskets, follow_ups, staged, table, with_schema
 from ..streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -368,34 +368,40 @@ _COUPLED = f"{BASKETS_SQL}, pair AS (SELECT a.citing AS a, b.citing AS b, count(
 @query(f"WITH {_COUPLED}, cut AS (SELECT greatest(2, floor(quantile_cont(weight, 0.5))) AS t FROM pair) SELECT a, b, weight::BIGINT AS weight FROM pair WHERE weight >= (SELECT t FROM cut)")
 def bibliographic_coupling(spark, d):
     """Orders that share parts, with the adaptive threshold."""
-    pairs = graph.pairs_sharing(baskets(spark, d), "citing", "cited", 2)
+    pairs = staged(graph.pairs_sharing(baskets(spark, d), "citing", "cited", 2))
     return pairs.crossJoin(F.broadcast(graph.adaptive_threshold(pairs))).filter("weight >= threshold").select("a", "b", "weight")
 
 
-_COCITED = f"{BASKETS_SQL}, pair AS (SELECT a.cited AS a, b.cited AS b, count(*) AS weight FROM basket a JOIN basket b ON a.citing = b.citing AND a.cited < b.cited GROUP BY ALL HAVING count(*) >= 2)"
+#: How many references of a citing paper count, in order.
+REFERENCES = 80
+_COCITED = f"{BASKETS_SQL}, head AS (SELECT * FROM basket QUALIFY row_number() OVER (PARTITION BY citing ORDER BY cited) <= {REFERENCES}), pair AS (SELECT a.cited AS a, b.cited AS b, count(*) AS weight FROM head a JOIN head b ON a.citing = b.citing AND a.cited < b.cited GROUP BY ALL HAVING count(*) >= 2)"
+
+
+def cocited(spark, d):
+    return graph.pairs_sharing(graph.first_items(baskets(spark, d), "cited", "citing", REFERENCES), "cited", "citing", 2)
 
 
 @query(f"WITH {_COCITED}, two AS (SELECT a AS u, b AS v, a, b, weight FROM pair UNION ALL SELECT b, a, a, b, weight FROM pair) SELECT DISTINCT a, b, weight::BIGINT AS weight FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY weight DESC, v) AS r FROM two) WHERE r <= 12")
 def cocitation(spark, d):
-    return graph.top_of_either(graph.pairs_sharing(baskets(spark, d), "cited", "citing", 2), 12)
+    return graph.top_of_either(cocited(spark, d), 12)
 
 
-@query(f"WITH {BASKETS_SQL}, df AS (SELECT cited, count(*) AS df FROM basket GROUP BY cited HAVING count(*) <= 40), w AS (SELECT citing, cited, ln((SELECT count(DISTINCT citing) FROM basket)::DOUBLE / df) + 1 AS idf FROM basket JOIN df USING (cited)), norm AS (SELECT citing, sum(idf) AS n FROM w GROUP BY citing), s AS (SELECT a.citing AS a, b.citing AS b, sum(a.idf) AS s FROM w a JOIN w b ON a.cited = b.cited AND a.citing < b.citing GROUP BY ALL) SELECT a, b, round(s / (x.n + y.n - s + 1e-9), 5) AS similarity FROM s JOIN norm x ON x.citing = a JOIN norm y ON y.citing = b WHERE s / (x.n + y.n - s + 1e-9) >= 0.2")
+@query(f"WITH {BASKETS_SQL}, df AS (SELECT cited, count(*) AS df FROM basket GROUP BY cited HAVING count(*) <= 100), w AS (SELECT citing, cited, ln((SELECT count(DISTINCT citing) FROM basket)::DOUBLE / df) + 1 AS idf FROM basket JOIN df USING (cited)), norm AS (SELECT citing, sum(idf) AS n FROM w GROUP BY citing), s AS (SELECT a.citing AS a, b.citing AS b, sum(a.idf) AS s FROM w a JOIN w b ON a.cited = b.cited AND a.citing < b.citing GROUP BY ALL) SELECT a, b, round(s / (x.n + y.n - s + 1e-9), 5) AS similarity FROM s JOIN norm x ON x.citing = a JOIN norm y ON y.citing = b WHERE s / (x.n + y.n - s + 1e-9) >= 0.1")
 def idf_coupling(spark, d):
-    return graph.idf_jaccard(baskets(spark, d), "citing", "cited", 40, 0.2).withColumn("similarity", F.round("similarity", 5))
+    return graph.idf_jaccard(baskets(spark, d), "citing", "cited", 100, 0.1).withColumn("similarity", F.round("similarity", 5))
 
 
 @query(f"WITH {_COCITED} SELECT a, b, round(least(1.0, 0.5 * (0.3 * 0 + 0.4 * least(1.0, ln(1 + weight) / ln(51.0)) + 0.3 * 0) * CASE WHEN x.p_brand <> y.p_brand THEN 2.0 ELSE 1.0 END), 6) AS fused FROM pair JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b")
 def fused_edges(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand")
-    e = graph.pairs_sharing(baskets(spark, d), "cited", "citing", 2).join(p.toDF("a", "ba"), "a").join(p.toDF("b", "bb"), "b")
+    e = cocited(spark, d).join(p.toDF("a", "ba"), "a").join(p.toDF("b", "bb"), "b")
     zero = F.lit(0.0)
     return e.select("a", "b", F.round(c.fused_weight(zero, F.col("weight"), zero, zero, F.col("ba") != F.col("bb"), F.lit(1.0)), 6).alias("fused"))
 
 
 @query(f"WITH {_COCITED}, e AS (SELECT unnest([a, b]) AS node FROM pair), d AS (SELECT node, count(*) AS degree FROM e GROUP BY node) SELECT node, degree::BIGINT AS degree, round(degree / ((SELECT count(*) FROM d) - 1), 6) AS centrality FROM d")
 def degree_centrality(spark, d):
-    return graph.degree_centrality(graph.pairs_sharing(baskets(spark, d), "cited", "citing", 2)).withColumn("centrality", F.round("centrality", 6))
+    return graph.degree_centrality(cocited(spark, d)).withColumn("centrality", F.round("centrality", 6))
 
 
 _NORMED = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings), c AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, list_dot_product(a.e, b.e) / (a.n * b.n) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id)"
@@ -427,14 +433,19 @@ def citation_pagerank(spark, d):
     return graph.pagerank(e, rounds=20).withColumn("rank", F.round("rank", 9))
 
 
-@query()
+@query(
+    "WITH RECURSIVE n AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders), "
+    "paths AS (SELECT 1 AS i, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c UNION ALL SELECT i + 1, a + b + c, a, b FROM paths WHERE i < (SELECT max(n) FROM n)), "
+    "e AS (SELECT u.o_orderkey AS src, v.o_orderkey AS dst, f.a * g.a AS spc FROM n u JOIN n v ON v.o_custkey = u.o_custkey AND v.i - u.i BETWEEN 1 AND 3 JOIN paths f ON f.i = u.i JOIN paths g ON g.i = v.n - v.i + 1), "
+    "cut AS (SELECT spc FROM (SELECT spc, row_number() OVER (ORDER BY spc DESC) - 1 AS k, count(*) OVER () AS n FROM e) WHERE k = greatest(0, floor(n * 0.01)::BIGINT - 1)) SELECT src, dst, spc, round(ln(1 + spc), 6) AS weight, spc >= (SELECT spc FROM cut) AS is_main FROM e"
+)
 def main_path(spark, d):
-    return graph.main_path(follow_ups(spark, d).select(F.col("cited").alias("src"), F.col("citing").alias("dst")))
+    return graph.main_path(follow_ups(spark, d).select(F.col("cited").alias("src"), F.col("citing").alias("dst"))).withColumn("weight", F.round("weight", 6))
 
 
 @query(f"WITH {_COCITED}, l AS (SELECT p_partkey AS node, p_brand AS label FROM part), m AS (SELECT sum(weight) AS m FROM pair), e AS (SELECT weight, x.label AS la, y.label AS lb FROM pair JOIN l x ON x.node = a JOIN l y ON y.node = b), ins AS (SELECT la AS label, sum(weight) AS i FROM e WHERE la = lb GROUP BY la), deg AS (SELECT label, sum(w) AS dg FROM (SELECT la AS label, weight AS w FROM e UNION ALL SELECT lb, weight FROM e) GROUP BY label) SELECT round(sum(coalesce(i, 0) / m - pow(dg / (2 * m), 2)), 6) AS modularity FROM deg LEFT JOIN ins USING (label), m")
 def modularity(spark, d):
-    pairs = graph.pairs_sharing(baskets(spark, d), "cited", "citing", 2)
+    pairs = cocited(spark, d)
     return graph.modularity(pairs, table(spark, d, "part").select("p_partkey", "p_brand")).withColumn("modularity", F.round("modularity", 6))
 
 

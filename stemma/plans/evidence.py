@@ -119,7 +119,7 @@ def node_places(spark, d):
 _UNIT = "v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v)"
 
 
-@query(f"WITH {_UNIT}, p AS (SELECT a.vec_id AS id, list_dot_product(a.e, b.e) / (a.n * b.n) AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.e, b.e) / (a.n * b.n), 9) DESC, b.vec_id) AS k FROM u a JOIN u b ON a.vec_id <> b.vec_id), f AS (SELECT id, sqrt(greatest(2 - 2 * c, 0)) AS distance FROM p WHERE k = 10) SELECT id, round(distance, 5) AS distance, distance > (SELECT avg(distance) + 2 * stddev_pop(distance) FROM f) AS outlier FROM f")
+@query(f"WITH {_UNIT}, w AS (SELECT vec_id, list_transform(e, lambda x: x / n) AS e FROM u), f AS (SELECT a.vec_id AS id, sqrt(greatest(2 - 2 * max(list_dot_product(a.e, b.e), 10)[10], 0)) AS distance FROM w a JOIN w b ON a.vec_id <> b.vec_id GROUP BY a.vec_id) SELECT id, round(distance, 5) AS distance, distance > (SELECT avg(distance) + 2 * stddev_pop(distance) FROM f) AS outlier FROM f")
 def vector_outliers(spark, d):
     return vectors.distance_outliers(table(spark, d, "embeddings"), "vec_id", "embedding").withColumn("distance", F.round("distance", 5))
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..operators import graph, relational, resolution, search, stats
-from ..sources.tables import BASKETS_SQL, FOLLOW_SQL, baskets, follow_ups, table
-from .catalog import ASKED, query
+from ..sources.tables import FOLLOW_SQL, follow_ups, table
+from .catalog import _COCITED, ASKED, cocited, query
 
 YEAR = 2000
 _AGE = f"greatest(1, {YEAR} - year(o_orderdate) + 1)"
@@ -222,10 +222,10 @@ def previous_snapshot(spark, d):
     return relational.latest_per_key(e.join(now, "user_id").filter("event_type <> now"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
-@query("SELECT source, sum(('0x' || substr(md5(doc_id || '|' || text), 1, 8))::BIGINT)::BIGINT AS signature FROM documents GROUP BY source")
+@query("SELECT source, sum(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-') || '|' || coalesce(text, '-')), 1, 8))::BIGINT)::BIGINT AS signature FROM documents GROUP BY source")
 def input_signature(spark, d):
-    """A digest of each source's rows that does not depend on their order, to tell stale results."""
-    digest = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.col("text")).cast("binary")), 1, 8), 16, 10).cast("long")
+    """A digest of each source's rows that does not depend on their order, to tell stale results; nulls count too."""
+    digest = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("|"), F.coalesce("text", F.lit("-"))).cast("binary")), 1, 8), 16, 10).cast("long")
     return table(spark, d, "documents").groupBy("source").agg(F.sum(digest).alias("signature"))
 
 
@@ -278,10 +278,9 @@ def cross_topic_neighbours(spark, d):
     return e.groupBy("node").agg(F.round(F.least(F.lit(1.0), F.count_if(F.col("own") != F.col("theirs")) / 20.0), 6).alias("share"))
 
 
-@query(f"WITH {BASKETS_SQL}, pair AS (SELECT a.cited AS a, b.cited AS b, count(*) AS weight FROM basket a JOIN basket b ON a.citing = b.citing AND a.cited < b.cited GROUP BY ALL HAVING count(*) >= 2) SELECT min(weight)::BIGINT AS least, max(weight)::BIGINT AS most, round(avg(weight), 6) AS mean, quantile_cont(weight, 0.5)::DOUBLE AS median FROM pair")
+@query(f"WITH {_COCITED} SELECT min(weight)::BIGINT AS least, max(weight)::BIGINT AS most, round(avg(weight), 6) AS mean, quantile_cont(weight, 0.5)::DOUBLE AS median FROM pair")
 def edge_weights(spark, d):
-    pairs = graph.pairs_sharing(baskets(spark, d), "cited", "citing", 2)
-    return pairs.agg(F.min("weight").alias("least"), F.max("weight").alias("most"), F.round(F.avg("weight"), 6).alias("mean"), F.percentile("weight", 0.5).alias("median"))
+    return cocited(spark, d).agg(F.min("weight").alias("least"), F.max("weight").alias("most"), F.round(F.avg("weight"), 6).alias("mean"), F.percentile("weight", 0.5).alias("median"))
 
 
 @query("SELECT label, lod::INTEGER AS lod, n::BIGINT AS n, x, y FROM (SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS x, round(avg(embedding[2]::DOUBLE), 6) AS y FROM embeddings GROUP BY label), range(4) t(lod)")

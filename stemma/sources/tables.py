@@ -37,8 +37,23 @@ BASKETS_SQL = "basket AS (SELECT DISTINCT l_orderkey AS citing, l_partkey AS cit
 FOLLOW_SQL = "ranked AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders), follow AS (SELECT a.o_orderkey AS citing, b.o_orderkey AS cited FROM ranked a JOIN ranked b ON a.o_custkey = b.o_custkey AND b.n BETWEEN a.n - 3 AND a.n - 1)"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where that is unset and all runs on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="stemma-")
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Iterative jobs cut their lineage with checkpoint(): the shared folder of spark.checkpoint.dir, or our own if unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stemma-"))
+    """Iterative jobs cut their lineage with checkpoint(), in the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df computed once, in the shared folder."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()

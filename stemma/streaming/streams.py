@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 
 def shared(spark: SparkSession) -> str:
     """A new folder below the one that spark.checkpoint.dir names."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stemma-")
-    return f"{top}/stemma-stream/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stemma-stream/{uuid.uuid4().hex}"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -43,8 +43,19 @@ def hourly(spark: SparkSession, path: str, late: str = "2 hours") -> DataFrame:
 
 
 def ingest(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Rows as they arrive, each key once; a batch that is tried again replaces what it wrote."""
+    """Rows as they arrive, each key once; a batch that is tried again replaces what it wrote.
+
+    Keys are told apart against what is written, by a join, so that the stream itself keeps no state.
+    """
     out = f"{shared(spark)}/ingest"
     rows = read(spark, path)
-    run(rows.dropDuplicates([key]), "append", lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}"))
+
+    def write(df: DataFrame, batch: int) -> None:
+        new = df.dropDuplicates([key])
+        if batch:
+            written = spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(*[f"{out}/batch={b}" for b in range(batch)])
+            new = new.join(written.select(key), key, "left_anti").select(df.columns)
+        new.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    run(rows, "append", write)
     return spark.read.parquet(out).drop("batch")

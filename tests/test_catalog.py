@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions import columns as c
 from stemma.operators import graph, relational, resolution, search, stats
-from stemma.plans import catalog, signals  # noqa: F401  (signals adds to the registry)
+from stemma.plans import catalog, evidence, records, rules, signals  # noqa: F401  (the others add to the registry)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -36,7 +36,7 @@ def test_query_says_what_its_sql_says(spark, sf, duck, name):
 
 
 @pytest.mark.parametrize("name", ["cocitation", "degree_centrality", "edge_weights", "fused_edges", "modularity"])
-def test_groups_of_over_80_count_whole(spark, tmp_path, name):
+def test_groups_of_over_80_items(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute("CREATE TABLE lineitem AS SELECT o AS l_orderkey, p AS l_partkey FROM range(1, 3) a(o), range(1, 82 + o * 5) b(p) UNION ALL SELECT 3, p FROM range(1, 5) b(p)")
     con.execute("CREATE TABLE part AS SELECT p AS p_partkey, 'Brand#' || p % 3 AS p_brand FROM range(1, 100) b(p)")
@@ -63,6 +63,60 @@ def test_path_counts(spark):
     assert graph.main_path(chain.limit(0)).count() == 0
 
 
+def test_path_counts_with_cycles(spark):
+    pairs = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    got = {(r.src, r.dst): r.spc for r in graph.path_counts(pairs([(1, 2), (2, 3), (3, 2), (3, 4)])).collect()}
+    assert got == {(1, 2): 1.0, (3, 4): 1.0}
+    # 2 and 3 are one node, which two edges enter from 1 and one leaves for each of 4 and 5; 5 and 6 are another.
+    got = {(r.src, r.dst): r.spc for r in graph.path_counts(pairs([(1, 2), (1, 3), (2, 3), (3, 2), (3, 4), (2, 5), (5, 6), (6, 5), (6, 7), (4, 7), (9, 9)])).collect()}
+    assert got == {(1, 2): 1.0, (1, 3): 1.0, (3, 4): 1.0, (2, 5): 1.0, (6, 7): 1.0, (4, 7): 1.0}
+    assert graph.path_counts(pairs([(1, 2), (2, 1)])).count() == 0
+    years = spark.createDataFrame([(2, 1999), (3, 2001), (5, None)], "node long, year int")
+    audit = sorted(tuple(r) for r in graph.cycle_audit(pairs([(1, 2), (2, 3), (3, 2), (3, 5), (5, 6), (6, 5), (6, 7)]), years).collect())
+    assert audit == [(2, 2, 1999, 2001, 2), (5, 2, None, None, 2)]
+
+
+def test_strong_components_against_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    for n in (6, 12):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(2 * n)}
+        reach = {i: {i} for i in range(n)}
+        for _ in range(n):
+            for u, v in edges:
+                reach[u] |= reach[v]
+        want = {i: min(j for j in range(n) if j in reach[i] and i in reach[j]) for i in range(n) if any(j != i and j in reach[i] and i in reach[j] for j in range(n))}
+        got = {r.node: r.component for r in graph.strong_components(spark.createDataFrame(sorted(edges), "src long, dst long")).collect()}
+        assert got == want
+
+
+def test_pairs_in_blocks_and_long_reference_lists(spark, monkeypatch):
+    rows = [(g, i) for g in range(3) for i in range(1, 40 - g)] + [(9, 1), (9, 2)]
+    df = spark.createDataFrame(rows, "g long, i long")
+    whole = sorted(tuple(r) for r in graph.pairs_sharing(df, "i", "g", 1).collect())
+    monkeypatch.setattr(graph, "MET", 7)
+    assert sorted(tuple(r) for r in graph.pairs_sharing(df, "i", "g", 1).collect()) == whole
+    assert sorted(r.i for r in graph.first_items(df, "i", "g", 5).filter("g = 2").collect()) == [1, 2, 3, 4, 5]
+
+
+def test_statistics_of_large_groups(spark, monkeypatch):
+    rows = [(k, float((i * 37) % 101) if k else 5.0) for k in (0, 1, None) for i in range(400)] + [(1, None), (7, 1.0), (7, 3.0)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    calls = (lambda: stats.truncated_percentile(df, ["k"], "v", 0.95), lambda: stats.nearest_percentile(df, ["k"], "v", 0.5), lambda: stats.trimmed_mean(df, ["k"], "v", 0.1))
+    plainly = [sorted((r[0] or -1, round(r[1], 9)) for r in f().collect()) for f in calls]
+    monkeypatch.setattr(stats, "GROUP", 50)
+    assert [sorted((r[0] or -1, round(r[1], 9)) for r in f().collect()) for f in calls] == plainly
+
+
+def test_vectors_with_nulls_and_ties(spark):
+    rows = [(i, [1.0, 0.0], 0) for i in range(12)] + [(50, None, 1), (51, [0.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, g int")
+    got = sorted((r.id, r.rank, r.other) for r in graph.nearest(df, "id", "v", "g", 2, blocks=3).collect() if r.id < 12)
+    assert got == [(i, k, [x for x in range(12) if x != i][k - 1]) for i in range(12) for k in (1, 2)]
+    assert graph.bridges(df, "id", "v", "g", 0.0).count() == 12
+
+
 def test_pagerank(spark):
     edges = [(1, 2), (2, 3), (3, 1), (4, 1), (1, 5)]
     rank = {n: 0.2 for n in range(1, 6)}
