@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import records
 from ..sources.tables import baskets, table
-from .rules import _query, c
+from .catalog import query
+from .rules import c
 
 _DAY = "strftime(o_orderdate, '%Y-%m-%d')"
 _MANY = "(o_orderkey % 4)::INTEGER"
@@ -29,7 +30,7 @@ def landed(spark, d):
     return o.select("o_orderkey", c("k").alias("paper_id"), F.to_json(work).alias("json"))
 
 
-@_query(
+@query(
     f"SELECT 'W' || o_orderkey AS openalex_id, CASE WHEN o_orderkey % 2 = 0 THEN '2101.' || lpad(o_orderkey::VARCHAR, 5, '0') END AS arxiv_id, 'Order ' || o_orderkey AS title, 'first ' || o_orderpriority || ' first' AS abstract, o_orderdate::DATE AS publication_date, (o_orderkey % 97)::BIGINT AS cited_by_count, "
     f"CASE WHEN o_orderkey % 3 <> 0 THEN 'T' || o_custkey % 50 END AS primary_topic_id, CASE WHEN o_orderkey % 3 <> 0 THEN 'F' || o_custkey % 5 END AS primary_field_id, o_orderstatus = 'F' AS is_retracted, 1 AS n_authors, {_MANY} AS n_refs FROM orders WHERE o_orderkey % 5 <> 0"
 )
@@ -38,7 +39,7 @@ def normalised_works(spark, d):
     return out.select("openalex_id", "arxiv_id", "title", "abstract", "publication_date", "cited_by_count", "primary_topic_id", "primary_field_id", "is_retracted", "n_authors", F.size("references_external").alias("n_refs"))
 
 
-@_query(
+@query(
     f"SELECT o_orderkey::VARCHAR AS paper_id, 'W' || o_orderkey AS openalex_id, (o_orderkey % 97)::BIGINT AS cited_by_count, CASE WHEN o_orderkey % 3 <> 0 THEN 'T' || o_custkey % 50 END AS topic, CASE WHEN o_orderkey % 3 <> 0 THEN 'D' || o_custkey % 3 END AS domain, {_MANY} AS n_refs, CASE WHEN {_MANY} > 0 THEN 'W' || o_orderkey END AS first_ref, (CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 0 END) AS n_topics, 'I7' AS place FROM orders"
 )
 def enriched_works(spark, d):
@@ -46,7 +47,7 @@ def enriched_works(spark, d):
     return out.select("updates.paper_id", "updates.openalex_id", "updates.cited_by_count", c("updates.primary_topic_id").alias("topic"), c("updates.primary_domain_id").alias("domain"), F.size("references").alias("n_refs"), F.get("references", F.lit(0))["norm"].alias("first_ref"), F.size("topics").alias("n_topics"), F.get("affiliations", F.lit(0))["institution_id"].alias("place"))
 
 
-@_query("SELECT '2101.' || lpad(c_custkey::VARCHAR, 5, '0') AS arxiv_id, c_name AS title, CASE WHEN c_custkey % 4 <> 0 THEN 'two words' END AS abstract, CASE WHEN c_custkey % 7 = 0 THEN DATE '1900-01-01' ELSE DATE '2020-01-01' + (c_custkey % 100)::INTEGER END AS publication_date, CASE WHEN c_custkey % 3 <> 0 THEN 'cs.' || c_nationkey END AS topic, (CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END) AS n_authors FROM customer WHERE c_custkey % 6 <> 0")
+@query("SELECT '2101.' || lpad(c_custkey::VARCHAR, 5, '0') AS arxiv_id, c_name AS title, CASE WHEN c_custkey % 4 <> 0 THEN 'two words' END AS abstract, CASE WHEN c_custkey % 7 = 0 THEN DATE '1900-01-01' ELSE DATE '2020-01-01' + (c_custkey % 100)::INTEGER END AS publication_date, CASE WHEN c_custkey % 3 <> 0 THEN 'cs.' || c_nationkey END AS topic, (CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END) AS n_authors FROM customer WHERE c_custkey % 6 <> 0")
 def normalised_preprints(spark, d):
     k = c("c_custkey")
     rec = F.struct(
@@ -58,7 +59,7 @@ def normalised_preprints(spark, d):
     return out.select("arxiv_id", "title", "abstract", "publication_date", c("primary_topic_id").alias("topic"), "n_authors")
 
 
-@_query(
+@query(
     "SELECT '10.5/' || c_custkey AS doi, c_name AS title, 'bold text' AS abstract, CASE c_custkey % 4 WHEN 0 THEN DATE '2019-05-06' WHEN 1 THEN DATE '2019-05-01' WHEN 2 THEN DATE '2019-01-01' ELSE DATE '1900-01-01' END AS publication_date, c_custkey::BIGINT AS cited_by_count, CASE c_custkey % 3 WHEN 0 THEN 'cc-by-nc' WHEN 1 THEN 'cc-by' END AS license, CASE WHEN c_custkey % 3 < 2 THEN 'gold' ELSE 'closed' END AS oa_status, 1 AS n_refs, 'Ada Example' AS author FROM customer"
 )
 def normalised_items(spark, d):
@@ -73,7 +74,7 @@ def normalised_items(spark, d):
     return out.select("doi", "title", "abstract", "publication_date", "cited_by_count", "license", "oa_status", F.size("references_external").alias("n_refs"), F.get("authors", F.lit(0)).alias("author"))
 
 
-@_query(
+@query(
     "SELECT c_custkey::VARCHAR AS paper_id, CASE WHEN c_custkey % 2 = 0 THEN 'W' || c_custkey END AS openalex_id, 'abc' || c_custkey AS s2_paper_id, CASE WHEN c_custkey % 3 <> 0 THEN 'S2F:' || lower(c_mktsegment) END AS topic, 2 AS n_refs, 'doi' AS first_kind, 'arxiv' AS second_kind FROM customer"
 )
 def scholar_records(spark, d):
@@ -97,12 +98,12 @@ def answers(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", (c("l_partkey") % 9).alias("n"), F.get(names, (c("l_linenumber") % 4).cast("int")).alias("provider")).distinct()
 
 
-@_query(f"WITH {_ANSWER} SELECT l_orderkey, provider, n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, {_RANK}, provider) AS r FROM (SELECT DISTINCT * FROM a)) WHERE r = 1")
+@query(f"WITH {_ANSWER} SELECT l_orderkey, provider, n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, {_RANK}, provider) AS r FROM (SELECT DISTINCT * FROM a)) WHERE r = 1")
 def best_answers(spark, d):
     return records.best_answer(answers(spark, d), "l_orderkey", "n", "provider").select("l_orderkey", "provider", "n")
 
 
-@_query("SELECT DISTINCT l_orderkey, min(CASE l_linenumber % 4 WHEN 0 THEN 's2' ELSE 't openalex' END) OVER (PARTITION BY l_orderkey) = 's2' AS from_first FROM lineitem WHERE l_linenumber % 4 IN (0, 2)")
+@query("SELECT DISTINCT l_orderkey, min(CASE l_linenumber % 4 WHEN 0 THEN 's2' ELSE 't openalex' END) OVER (PARTITION BY l_orderkey) = 's2' AS from_first FROM lineitem WHERE l_linenumber % 4 IN (0, 2)")
 def first_answers(spark, d):
     one = answers(spark, d).select("l_orderkey", "provider").distinct()
     return records.first_answer(one, "l_orderkey", "provider", ("s2", "openalex")).select("l_orderkey", (c("provider") == "s2").alias("from_first"))
@@ -119,12 +120,12 @@ def papers(spark, d):
     )
 
 
-@_query(f"WITH {_P} SELECT id, doi FROM p WHERE (openalex_id IS NULL OR openalex_id NOT LIKE 'W%' OR primary_field_id IS NULL OR primary_topic_id LIKE 'S2F:%') AND (coalesce(doi, '') <> '' OR coalesce(arxiv_id, '') <> '') ORDER BY coalesce(doi, '') = '', coalesce(openalex_id LIKE 'W%', false), publication_date, id LIMIT 300")
+@query(f"WITH {_P} SELECT id, doi FROM p WHERE (openalex_id IS NULL OR openalex_id NOT LIKE 'W%' OR primary_field_id IS NULL OR primary_topic_id LIKE 'S2F:%') AND (coalesce(doi, '') <> '' OR coalesce(arxiv_id, '') <> '') ORDER BY coalesce(doi, '') = '', coalesce(openalex_id LIKE 'W%', false), publication_date, id LIMIT 300")
 def backfill_targets(spark, d):
     return records.backfill_targets(papers(spark, d), 300).select("id", "doi")
 
 
-@_query("SELECT p_partkey, ratio::DOUBLE AS ratio FROM part JOIN (VALUES (0, 1.0), (1, 0.0), (3, 0.96), (4, 0.909091)) t(k, ratio) ON k = p_partkey % 6")
+@query("SELECT p_partkey, ratio::DOUBLE AS ratio FROM part JOIN (VALUES (0, 1.0), (1, 0.0), (3, 0.96), (4, 0.909091)) t(k, ratio) ON k = p_partkey % 6")
 def verified_matches(spark, d):
     """Six cases: same identifier, preprint named, neither, near titles, near titles of neighbouring years, near titles of far years."""
     rows = [("10.1/a", None, "Same", 2000, "https://doi.org/10.1/A", "same", 2000, ""), (None, "2101.00001v2", "", 2000, None, "x", None, "{'arxiv': '2101.00001'}"), ("10.1/a", None, "One", 2000, "10.1/b", "Other", 2000, ""),
@@ -134,7 +135,7 @@ def verified_matches(spark, d):
     return records.verified(pairs).select("p_partkey", F.round("ratio", 6).alias("ratio"))
 
 
-@_query("SELECT c_custkey FROM customer WHERE c_nationkey = 3 AND c_acctbal > 0 ORDER BY c_custkey LIMIT 40")
+@query("SELECT c_custkey FROM customer WHERE c_nationkey = 3 AND c_acctbal > 0 ORDER BY c_custkey LIMIT 40")
 def filtered_works(spark, d):
     cust = table(spark, d, "customer")
     w = cust.select(c("c_custkey"), F.lpad(c("c_custkey").cast("string"), 9, "0").alias("openalex_id"), c("c_nationkey").cast("string").alias("primary_topic_id"), F.lit("2020-01-01").cast("date").alias("publication_date"), F.lit("en").alias("language"), (c("c_acctbal") <= 0).alias("is_retracted"), F.lit("x").alias("abstract"))
@@ -147,7 +148,7 @@ _DUP = (
 )
 
 
-@_query(
+@query(
     f"WITH {_DUP}, a AS (SELECT i.id, min(k.id) AS match FROM inc i JOIN kn k ON k.doi = i.doi GROUP BY i.id), b AS (SELECT i.id, min(k.id) AS match FROM inc i JOIN kn k ON k.openalex_id = i.openalex_id WHERE i.id NOT IN (SELECT id FROM a) GROUP BY i.id) "
     "SELECT id, match, 'doi' AS step FROM a UNION ALL SELECT id, match, 'openalex_id' FROM b UNION ALL SELECT i.id, i.id + 1, 'title' FROM inc i WHERE i.id NOT IN (SELECT id FROM a) AND i.id NOT IN (SELECT id FROM b) AND i.id + 1 IN (SELECT id FROM kn)"
 )
@@ -160,7 +161,7 @@ def duplicate_cascade(spark, d):
     return records.duplicates(new, known)
 
 
-@_query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'own' WHEN p_partkey % 3 = 0 THEN 'new' ELSE '' END AS doi, greatest(p_partkey % 50, CASE WHEN p_partkey % 3 = 0 THEN 30 ELSE 0 END)::BIGINT AS cites FROM part")
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'own' WHEN p_partkey % 3 = 0 THEN 'new' ELSE '' END AS doi, greatest(p_partkey % 50, CASE WHEN p_partkey % 3 = 0 THEN 30 ELSE 0 END)::BIGINT AS cites FROM part")
 def merged_duplicates(spark, d):
     k = c("p_partkey")
     existing = table(spark, d, "part").select(k.alias("id"), F.when(k % 4 == 0, "own").otherwise("").alias("doi"), (k % 50).alias("cites"))
@@ -169,7 +170,7 @@ def merged_duplicates(spark, d):
     return out.select("id", F.coalesce("doi", F.lit("")).alias("doi"), c("cites").cast("long").alias("cites"))
 
 
-@_query(
+@query(
     "SELECT o_orderkey::VARCHAR AS paper_id, CASE WHEN o_orderkey % 2 = 0 THEN 'W' || o_orderkey ELSE 'old' END AS openalex_id, CASE WHEN o_orderkey % 2 = 0 THEN greatest(10, o_orderkey % 97) ELSE 10 END::BIGINT AS cited_by_count FROM orders"
 )
 def enrichment_written_back(spark, d):
@@ -179,7 +180,7 @@ def enrichment_written_back(spark, d):
     return records.write_back(o, none, got)[0]
 
 
-@_query("SELECT o_orderkey::VARCHAR AS citing, 'W' || (o_orderkey + i) AS cited FROM orders, range(3) t(i) WHERE o_orderkey % 2 = 0 AND i < o_orderkey % 4")
+@query("SELECT o_orderkey::VARCHAR AS citing, 'W' || (o_orderkey + i) AS cited FROM orders, range(3) t(i) WHERE o_orderkey % 2 = 0 AND i < o_orderkey % 4")
 def references_written_back(spark, d):
     o = table(spark, d, "orders").select(c("o_orderkey").cast("string").alias("paper_id"))
     got = records.enriched_work(landed(spark, d).filter(c("o_orderkey") % 2 == 0), "paper_id", "json")

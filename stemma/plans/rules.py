@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..sources.tables import table
-from .catalog import ORACLE, QUERIES
+from .catalog import ORACLE, QUERIES, query
 
 
 def literal(value) -> str:
@@ -173,15 +173,7 @@ cases("response_scores", "r string", "score", lambda: {"score": rules.response_s
 cases("topic_relevance", "t string", "score", lambda: {"score": rules.topic_relevance(c("t"), ["metasurface"], ["lens", "phase"], ["light"])}, [(("A metasurface lens",), (6,)), (("Light and phase of light",), (3,)), (("none",), (0,)), ((None,), (0,))])
 
 
-def _query(sql: str):
-    def add(f):
-        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
-        return f
-
-    return add
-
-
-@_query("SELECT p_partkey, substr(sha256('parser|' || p_size || '|' || p_brand), 1, 16) AS hash FROM part")
+@query("SELECT p_partkey, substr(sha256('parser|' || p_size || '|' || p_brand), 1, 16) AS hash FROM part")
 def parser_hashes(spark, d):
     return table(spark, d, "part").select("p_partkey", rules.parser_hash(F.lit("parser"), c("p_size").cast("string"), c("p_brand")).alias("hash"))
 
@@ -189,21 +181,21 @@ def parser_hashes(spark, d):
 _ALPHABET = "'0123456789ABCDEFGHJKMNPQRSTVWXYZ'"
 
 
-@_query(
+@query(
     "SELECT event_id, " + " || ".join(f"substr({_ALPHABET}, (((epoch_us(ts) // 1000) >> {5 * (9 - i)}) & 31)::INT + 1, 1)" for i in range(10)) + " || " + " || ".join(f"substr({_ALPHABET}, (('0x' || substr(md5(event_id::VARCHAR), {2 * i + 1}, 2))::BIGINT & 31)::INT + 1, 1)" for i in range(16)) + " AS ulid FROM events"
 )
 def ulids(spark, d):
     return table(spark, d, "events").select("event_id", rules.ulid(c("ts").cast("timestamp"), c("event_id").cast("string")).alias("ulid"))
 
 
-@_query("SELECT o_custkey, (o_custkey * 137.5) % 360 AS hue, '#' || printf('%02x%02x%02x', r, g, b) AS colour FROM (SELECT o_custkey, " + ", ".join(
+@query("SELECT o_custkey, (o_custkey * 137.5) % 360 AS hue, '#' || printf('%02x%02x%02x', r, g, b) AS colour FROM (SELECT o_custkey, " + ", ".join(
     f"floor(255 * (CASE WHEN t{k} < 1.0::DOUBLE / 6 THEN p + (q - p) * 6 * t{k} WHEN t{k} < 0.5 THEN q WHEN t{k} < 2.0::DOUBLE / 3 THEN p + (q - p) * (2.0::DOUBLE / 3 - t{k}) * 6 ELSE p END))::INT AS {k}" for k in "rgb"
 ) + " FROM (SELECT *, " + ", ".join(f"CASE WHEN h + {o} < 0 THEN h + {o} + 1 WHEN h + {o} > 1 THEN h + {o} - 1 ELSE h + {o} END AS t{k}" for k, o in (("r", "1.0::DOUBLE / 3"), ("g", "0.0::DOUBLE"), ("b", "-1.0::DOUBLE / 3"))) + f" FROM (SELECT DISTINCT o_custkey, ((o_custkey * 137.5::DOUBLE) % 360) / 360.0::DOUBLE AS h, {0.55 + 0.70 - 0.55 * 0.70!r}::DOUBLE AS q, {2 * 0.55 - (0.55 + 0.70 - 0.55 * 0.70)!r}::DOUBLE AS p FROM orders)))")
 def field_colours(spark, d):
     return table(spark, d, "orders").select("o_custkey").distinct().select("o_custkey", F.pmod(c("o_custkey") * 137.5, F.lit(360.0)).alias("hue"), rules.hue_colour(c("o_custkey")).alias("colour"))
 
 
-@_query("SELECT o_orderkey FROM orders WHERE o_orderdate::DATE BETWEEN DATE '2000-01-01' - 1094 AND DATE '2000-01-01' - 364")
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate::DATE BETWEEN DATE '2000-01-01' - 1094 AND DATE '2000-01-01' - 364")
 def sampling_window(spark, d):
     since, until = rules.sampling_window("established", F.lit("2000-01-01").cast("date"))
     return table(spark, d, "orders").filter(rules.within_dates(c("o_orderdate").cast("date"), since, until)).select("o_orderkey")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions import columns as c
 from stemma.operators import graph, relational, resolution, search, stats
-from stemma.plans import catalog, evidence, records, rules, signals  # noqa: F401  (the others add to the registry)
+from stemma.plans import catalog, evidence, history, products, records, rules, signals  # noqa: F401  (the others add to the registry)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
