@@ -67,8 +67,8 @@ def idf_jaccard(edges: DataFrame, doc: str, item: str, most: int, least: float)
     return out.withColumn("similarity", F.col("s") / (F.col("na") + F.col("nb") - F.col("s") + 1e-9)).filter(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
-def blockwise(vectors: DataFrame, key: str, vector: str, group: str, blocks: int | None, run, schema: str) -> DataFrame:
-    """run(ids, groups, vectors of length one, left, right, same) for every pair of blocks of vectors.
+def blockwise(vectors: DataFrame, key: str, vector: str, group: str, blocks: int | None, run, schema: str, unit: bool = True) -> DataFrame:
+    """run(ids, groups, vectors (of length one if unit), left, right, same) for every pair of blocks of vectors.
 
     Blocks hold about BLOCK vectors, so that a task holds two and a product of them; each vector goes to as many tasks as there are blocks. Null vectors go.
     """
@@ -80,7 +80,8 @@ def blockwise(vectors: DataFrame, key: str, vector: str, group: str, blocks: int
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
         m = np.vstack(pdf["v"].to_numpy()).astype(float)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        if unit:
+            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
         own, lo, hi = pdf["own"].to_numpy(), pdf["lo"].iloc[0], pdf["hi"].iloc[0]
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         return run(pdf["id"].to_numpy(), pdf["g"].to_numpy(), m, left, right, lo == hi)

@@ -182,16 +182,18 @@ def standard_score(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.crossJoin(F.broadcast(m)).withColumn(out, (F.col(value) - F.col("_mu")) / (F.col("_sigma") + 1e-9)).drop("_mu", "_sigma")
 
 
-def bradley_terry(games: DataFrame, prior: float = 0.1, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
+def bradley_terry(games: DataFrame, prior: float = 0.1, rounds: int = 50, tolerance: float = 1e-6, small: int = 200_000) -> DataFrame:
     """(item, strength) from games (winner, loser): minorise-maximise with `prior` wins each way against a player of strength 1.
 
-    Games are counted by pair once; each round joins the pairs with the strengths twice, so each round is checkpointed. Strengths stay positive, also of
-    items that always or never win.
+    Games are counted by pair once. Up to `small` pairs are fitted on the driver; with more, each round joins the pairs with the strengths twice and is
+    checkpointed. Strengths stay positive, also of items that always or never win.
     """
     ensure_checkpoints(games.sparkSession)
     played = games.filter("winner <> loser")
     both = played.select(F.col("winner").alias("item"), F.col("loser").alias("other"), F.lit(1).alias("won")).union(played.select("loser", "winner", F.lit(0)))
     pairs = both.groupBy("item", "other").agg(F.count("*").alias("n"), F.sum("won").alias("won")).checkpoint()
+    if pairs.count() <= small:
+        return _fitted_here(pairs, prior, rounds, tolerance)
     wins = pairs.groupBy("item").agg(F.sum("won").alias("won"))
     strength = wins.select("item", F.lit(1.0).alias("strength"))
     for _ in range(rounds):
@@ -205,6 +207,24 @@ def bradley_terry(games: DataFrame, prior: float = 0.1, rounds: int = 50, tolera
     return strength
 
 
+def _fitted_here(pairs: DataFrame, prior: float, rounds: int, tolerance: float) -> DataFrame:
+    """The same fit of a bounded number of pairs (item, other, n, won)."""
+    import numpy as np
+
+    rows = pairs.toPandas().sort_values(["item", "other"])
+    names, item = np.unique(rows["item"].to_numpy(), return_inverse=True)
+    other = np.searchsorted(names, rows["other"].to_numpy())
+    n, won = rows["n"].to_numpy(float), np.bincount(item, rows["won"].to_numpy(float), len(names))
+    s = np.ones(len(names))
+    for _ in range(rounds if len(names) else 0):
+        new = (won + prior) / (np.bincount(item, n / (s[item] + s[other]), len(names)) + 2 * prior / (s + 1))
+        moved = np.abs(np.log(new) - np.log(s)).max()
+        s = new
+        if moved < tolerance:
+            break
+    return pairs.sparkSession.createDataFrame([(x, float(v)) for x, v in zip(names.tolist(), s)], f"item {pairs.schema['item'].dataType.simpleString()}, strength double")
+
+
 def fit_calibrator(df: DataFrame, y: str, score: str, strength: float = 6.0, rounds: int = 25, tolerance: float = 1e-9) -> dict:
     """Logistic regression of y (0 or 1) on one score, classes weighing alike, the slope penalised by 1 / (2 strength).
 

@@ -70,10 +70,10 @@ def month_windows(spark, d):
     return span.select(F.explode(F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("interval 1 month"))).alias("m")).select(F.year("m").alias("y"), F.month("m").alias("m"))
 
 
-@query("SELECT doc_id, md5(array_to_string(list_filter(string_split(text, ' '), lambda x: x <> ''), ' ')) AS digest FROM documents WHERE n_chars < 2000")
+@query("SELECT doc_id, md5(array_to_string(list_filter(string_split(text, ' '), lambda x: x <> ''), ' ')) AS digest FROM documents WHERE len(list_filter(string_split(text, ' '), lambda x: x <> '')) > 0")
 def inverted_abstract(spark, d):
     """Texts turned into inverted indexes and rebuilt by position."""
-    docs = table(spark, d, "documents").filter("n_chars < 2000")
+    docs = table(spark, d, "documents")
     places = docs.select("doc_id", F.posexplode(F.filter(F.split("text", " "), lambda x: x != "")).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
     back = places.select("doc_id", "w", F.explode("ps").alias("p")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("p", "w"))).alias("s"))
     return back.select("doc_id", F.md5(F.array_join(F.col("s")["w"], " ").cast("binary")).alias("digest"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import graph, relational, resolution, search, stats
 from ..sources.tables import FOLLOW_SQL, follow_ups, table
-from .catalog import _COCITED, ASKED, cocited, query
+from .catalog import _BM25, _COCITED, _OVER, ASKED, cocited, query
 
 YEAR = 2000
 _AGE = f"greatest(1, {YEAR} - year(o_orderdate) + 1)"
@@ -308,7 +308,7 @@ def strengths(spark, d):
     met = li.withColumn("o", after).filter("o is not null and o.l_extendedprice <> l_extendedprice")
     ahead = F.col("l_extendedprice") > F.col("o.l_extendedprice")
     games = met.select(F.when(ahead, F.col("p_brand")).otherwise(F.col("o.p_brand")).alias("winner"), F.when(ahead, F.col("o.p_brand")).otherwise(F.col("p_brand")).alias("loser"))
-    return stats.bradley_terry(games, tolerance=1e-3).withColumn("strength", F.round("strength", 6))
+    return stats.bradley_terry(games).withColumn("strength", F.round("strength", 6))
 
 
 @query()
@@ -321,7 +321,10 @@ def local_rank(spark, d):
 # Retrieval
 
 
-@query()
+@query(
+    f"WITH {_BM25}, {_OVER}, a AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS e FROM bm QUALIFY e <= 60), b AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS f FROM ov QUALIFY f <= 60), "
+    "m AS (SELECT doc_id, CASE WHEN f IS NULL THEN 'exact' WHEN e IS NULL THEN 'fuzzy' ELSE 'exact+fuzzy' END AS mode, row_number() OVER (ORDER BY e NULLS LAST, f NULLS LAST, doc_id) AS rank FROM a FULL JOIN b USING (doc_id)) SELECT doc_id, mode, rank::INTEGER AS rank FROM m WHERE rank <= 80"
+)
 def hybrid_hits(spark, d):
     """Documents by exact words first, then those only the overlap list has."""
     docs = table(spark, d, "documents")

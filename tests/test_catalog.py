@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions import columns as c
 from stemma.operators import graph, relational, resolution, search, stats
-from stemma.plans import catalog, evidence, history, products, records, rules, signals  # noqa: F401  (the others add to the registry)
+from stemma.plans import catalog, evidence, history, products, records, rules, sections, signals  # noqa: F401  (the others add to the registry)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -178,8 +178,9 @@ def test_bradley_terry(spark):
             new[i] = (sum(w == i for w, _ in mine) + 0.1) / (load + 0.2 / (strength[i] + 1))
         strength = new
     df = spark.createDataFrame(games, "winner string, loser string")
-    got = {r["item"]: r.strength for r in stats.bradley_terry(df, rounds=8).collect()}
-    assert got == pytest.approx(strength, rel=1e-3)
+    for small in (200_000, 0):  # on the driver, and in joins
+        got = {r["item"]: r.strength for r in stats.bradley_terry(df, rounds=8, small=small).collect()}
+        assert got == pytest.approx(strength, rel=1e-3)
     assert stats.bradley_terry(df.limit(0)).count() == 0
 
 

@@ -94,3 +94,64 @@ def test_rules_on_nulls(spark):
         rules.citation_function(F.col("s"), F.col("s"), F.col("s"), F.col("s"))["label"].alias("e"), rules.response_score(F.col("s")).alias("f"),
     ).first()
     assert tuple(got) == (None, None, None, 0, "background", 1)
+
+
+def folded(text, least=80, most=700):
+    """Chunks of a text, read sentence by sentence."""
+    import re
+
+    from stemma.operators import atoms
+
+    clean = " ".join(text.split())
+    told = lambda s: len(s) >= 35 and any(re.search(atoms.STAGE_PATTERNS[k], s) for k in atoms.CHAIN)
+    done, held = [], ""
+    for p in [x.strip() for x in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9])", clean) if x.strip()]:
+        if len(p) > most:
+            done += ([held] if held else []) + [x for i in range(0, len(p), most) if len(x := p[i : i + most].strip()) >= least]
+            held = ""
+        elif told(p):
+            if held and not (len(held) >= least or told(held)):
+                p, held = f"{held} {p}", ""
+            done += ([held] if held else []) + [p]
+            held = ""
+        else:
+            both = f"{held} {p}" if held else p
+            if held and len(both) > most:
+                done += [held] if len(held) >= least else []
+                both = p
+            held = both
+            if len(held) >= least and (held[-1] in ".!?" or len(held) >= most * 0.75):
+                done, held = [*done, held], ""
+    if held and done and len(held) < least:
+        done[-1] = f"{done[-1]} {held}"[:most]
+    elif len(held) >= least:
+        done.append(held)
+    return done
+
+
+def test_chunks_against_brute_force(spark):
+    from stemma.operators import sections
+
+    rng = random.Random(4)
+    words = ["However", "noise", "we propose", "the loss", "fine", "a", "design", "1", "shown", "limits", "Thermal", "x" * 60]
+    rows = [(i, " ".join(rng.choice(words).capitalize() if rng.random() < 0.2 else rng.choice(words) + rng.choice(["", "", ".", "!", ". "]) for _ in range(rng.randint(0, 160)))) for i in range(120)] + [(900, "word " * 400), (901, ""), (902, None), (903, "Short one.")]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = {r.k: r.s for r in df.select("k", sections.chunks(F.col("t")).alias("s")).collect()}
+    for k, t in rows:
+        assert [s.chunk for s in got[k]] == folded(t or ""), (k, t)
+        clean = " ".join((t or "").split())
+        assert all(clean[s.start : s.end] == s.chunk for s in got[k] if s.start is not None)
+    named = df.withColumn("name", F.lit("Future Work"))
+    atoms = sections.section_atoms(named, "k", "name", "t").collect()
+    assert len({a.atom_id for a in atoms}) == len(atoms) and all(a.section_key == "future_work" and a.atom_index < 12 and a.evidence_grade == "section_atom_weak" for a in atoms)
+
+
+def test_search_refuses_what_it_does_not_know(spark):
+    from stemma.operators import sections
+
+    with pytest.raises(ValueError):
+        sections.dispatch("guess")
+    assert sections.identifier_filter("free text") == {} and sections.identifier_filter("arXiv:2101.00001v2") and sections.identifier_filter("doi:10.1234/x")
+    df = spark.createDataFrame([(1, "a b", "2101.00001"), (2, "b c", "2101.00002")], "k long, t string, arxiv_id string")
+    assert [r.k for r in sections.exact_search(df, "k", "t", "arXiv:2101.00002v3").collect()] == [2]
+    assert [r.k for r in sections.exact_search(df, "k", "t", "b c", phrase=True).collect()] == [2]
