@@ -4,8 +4,8 @@ Each line of a text is described by a few yes/no features; a two-state chain (co
 maximum likelihood is decoded by Viterbi, and the share of word characters in content lines decides retention. Plain
 counting rules over the words come first.
 
-Training uses at most `sample` labelled documents, chosen by a hash of the id among those of at most `longest`
-characters and `lines` lines (the bound of what the driver holds); a chosen text is used whole. A line of a document of
+Training uses at most `sample` labelled documents, chosen by a hash of the id, and of these the ones of at most `longest`
+characters and `lines` lines (the bound of what the driver holds), each text whole. A line of a document of
 quality 0 counts as boilerplate, and so does one that is empty of words or repeats an earlier line; other lines of
 documents of quality 1 count as content.
 
@@ -162,9 +162,9 @@ def train(docs: list[tuple[list[int], list[bool]]]) -> Chain:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", sample: int = 1500, longest: int = 20_000, lines: int = 400) -> Chain:
     """Trains on at most `sample` labelled documents of at most `longest` characters and `lines` lines."""
     told = labels.filter(F.col(key).isNotNull() & F.col(quality).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.min(quality).alias("q"))
-    able = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter((F.length("t") <= longest) & (F.regexp_count("t", F.lit("\n")) < lines))
-    chosen = able.join(told, "k").select("k", "q").distinct().orderBy(F.xxhash64("k"), "k").limit(sample)
-    rows = able.join(F.broadcast(chosen), "k").groupBy("k", "q").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("x")).collect()  # at most `sample`
+    chosen = told.orderBy(F.xxhash64("k"), "k").limit(sample)
+    able = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").filter((F.length("t") <= longest) & (F.regexp_count("t", F.lit("\n")) < lines))
+    rows = able.groupBy("k", "q").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("x")).collect()  # at most `sample`
     out = []
     for r in sorted(rows, key=lambda r: (r.x.h, r.k)):
         codes, chars, _ = describe(text_bytes(r.x.t))
