@@ -30,9 +30,10 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, fresh, join_hot, segments, ship, stage, text_bytes
@@ -306,18 +307,27 @@ def bloom(ids: DataFrame, size: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def bloom_size(n: int) -> int:
+    return max(BLOOM[0], min(BLOOM[1], (16 * n).bit_length()))
+
+
+def in_bloom(words: np.ndarray, size: int, h: np.ndarray) -> np.ndarray:
+    """Which of these hashes (64-bit, signed) the filter may hold."""
+    v, hit = h.view(np.uint64), np.ones(len(h), bool)
+    for bit in (v >> np.uint64(64 - size), (v << np.uint64(size)) >> np.uint64(64 - size)):
+        hit &= (words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)) > 0
+    return hit
+
+
 def full_sets(docs: DataFrame, key: str, text: str, needed: DataFrame) -> DataFrame:
     """(fp, s) for the nodes in needed (fp, id), a staged table: one document of each, found by a Bloom filter of its id's hash."""
     h = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    size = max(BLOOM[0], min(BLOOM[1], (16 * needed.count()).bit_length()))
+    size = bloom_size(needed.count())
     mask = docs.sparkSession.sparkContext.broadcast(bloom(needed.select(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null"))).alias("h")), size))  # at most 16 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = batch[0].to_numpy().view(np.uint64)
-            hit = np.ones(len(v), bool)
-            for bit in (v >> np.uint64(64 - size), (v << np.uint64(size)) >> np.uint64(64 - size)):
-                hit &= (mask.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)) > 0
+            hit = in_bloom(mask.value, size, batch[0].to_numpy())
             texts = batch[1].filter(pa.array(hit))
             for at in range(0, len(texts), 1024):
                 sets = [s for x in texts.slice(at, 1024).to_pylist() if len(s := shingles(text_bytes(x)))]
@@ -410,10 +420,22 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     gone = rows.filter("not kept").select("id", "h").distinct().union(able.filter("h <> first").select("id", "h"))
     repeated = able.filter("h = first and count > 1").select("id", "h")
     told = stage(gone.withColumn("again", F.lit(False)).union(repeated.withColumn("again", F.lit(True))).toDF(i, h, again), "told")
-    same = F.col(f"`{key}`").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(h))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    if told.filter(again).isEmpty():
-        return docs.join(told, same, "left_anti").select(*columns)
-    met = docs.join(told, same, "left")
-    once = met.filter(F.col(again)).dropDuplicates([i, h])
-    return met.filter(F.col(again).isNull()).union(once).select(*columns)
+    # A Bloom filter of at most 16 MB tells most rows that stay, so that no other texts are shuffled.
+    size = bloom_size(told.count())
+    mask = docs.sparkSession.sparkContext.broadcast(bloom(told.select(row_hash(F.col(i), F.col(h)).alias("h")), size))
+
+    def may_go(x: pd.Series) -> pd.Series:
+        return pd.Series(in_bloom(mask.value, size, x.to_numpy()))
+
+    seen = fresh(docs, "_seen")
+    docs = docs.withColumn(seen, F.coalesce(F.xxhash64(F.col(f"`{text}`")), F.lit(0)))
+    docs = docs.withColumn(seen, F.struct(F.col(seen).alias("h"), F.pandas_udf(may_go, "boolean")(row_hash(F.col(f"`{key}`"), F.col(seen))).alias("m")))
+    near = docs.filter(F.col(seen)["m"]).join(told, F.col(f"`{key}`").eqNullSafe(F.col(i)) & (F.col(seen)["h"] == F.col(h)), "left")
+    stay = docs.filter(~F.col(seen)["m"]).select(*columns).union(near.filter(F.col(again).isNull()).select(*columns))
+    once = near.filter(F.col(again)).dropDuplicates([i, h]).select(*columns)
+    return stay if told.filter(again).isEmpty() else stay.union(once)
+
+
+def row_hash(key: Column, h: Column) -> Column:
+    return F.xxhash64(F.coalesce(key.cast("string"), F.lit("null")), h)
