@@ -94,8 +94,7 @@ class WordEncoder:
         said = json.loads(self.whole.to_str())
         self.chunked = said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == SPLITTER and said["model"]["type"] == "BPE"
         self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
-        marked = os.path.commonprefix(self.special).decode() or " "
-        self.as_written = rf"{regex.escape(marked)}|\pM"  # texts whose case counts
+        self.marked = os.path.commonprefix(self.special).decode() or " "
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -107,7 +106,7 @@ class WordEncoder:
 
     def learn(self, chunks: list[bytes]) -> None:
         """Remembers chunks. A piece is remembered too: as a chunk of its own it would be encoded alike."""
-        known, made, need, hard = self.known, [], {}, []
+        known, made, need, hard, mark = self.known, [], {}, [], self.marked.encode()
         for c in chunks:
             low = c.lower()
             if low.isalpha():
@@ -116,7 +115,7 @@ class WordEncoder:
                 parts = [low[:-1], low[-1:]]
             else:
                 text = c.decode()
-                if not self.simple.fullmatch(text) or any(s in c for s in self.special):
+                if not self.simple.fullmatch(text) or mark in c and any(s in c for s in self.special):
                     hard.append(c)
                     continue
                 parts = [p.encode() for p in self.pieces.findall(text.lower())]
@@ -139,19 +138,26 @@ class WordEncoder:
             for c, e in zip(hard, self.whole.encode_batch([c.decode() for c in hard], add_special_tokens=False), strict=True):
                 known[c] = np.array(e.ids, self.kind).tobytes()
 
+    @staticmethod
+    def has_marks(texts: pa.Array) -> pa.Array:
+        """Which texts have a combining mark; only those beyond ASCII are searched."""
+        out = np.invert(pc.string_is_ascii(texts).to_numpy(zero_copy_only=False))
+        out[out] = pc.match_substring_regex(texts.filter(pa.array(out)), r"\pM").to_numpy(zero_copy_only=False)
+        return pa.array(out)
+
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, how many each text has).
 
         Arrow cuts the texts into chunks and numbers the distinct ones; only these are looked up.
         """
-        texts = pa.array([x or "" for x in texts.to_pylist()], pa.large_string())  # a fresh array: ascii_lower misreads slices
+        texts = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))  # a fresh array: ascii_lower misreads slices
         if not self.chunked:
             ids = [e.ids for e in self.whole.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             return np.concatenate([np.array(x, self.kind) for x in ids] or [np.zeros(0, self.kind)]), np.array([len(x) for x in ids], np.int64)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         self.known[b""] = b""
-        told = pc.match_substring_regex(texts, self.as_written)
+        told = pc.or_(pc.match_substring(texts, self.marked), self.has_marks(texts))  # texts whose case counts
         words = pc.ascii_split_whitespace(pc.if_else(told, texts, pc.ascii_lower(texts)))
         coded = words.flatten().cast(pa.large_binary()).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
