@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import ensure_checkpoints, staged
-from . import stats
+from . import relational, stats
 
 #: Items of a group that meet in one task, and rows of a block of vectors.
 MET, BLOCK = 1024, 4096
@@ -246,18 +246,32 @@ def main_path(edges: DataFrame, share: float = 0.01) -> DataFrame:
     return e.withColumn("is_main", F.col("spc") >= F.lit(cut))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node of each connected component of (a, b), by least labels with jumps."""
-    ensure_checkpoints(edges.sparkSession)
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_near"))
-        low = labels.join(near, "node").select("node", "component", F.least("component", "_near").alias("_low"))
-        jump = low.join(labels.select(F.col("node").alias("_low"), F.col("component").alias("_far")), "_low").select("node", F.col("component").alias("_old"), F.least("_low", "_far").alias("component")).checkpoint()
-        labels = jump.select("node", "component")
-        if jump.filter("component <> _old").isEmpty():
-            return labels
+def components(edges: DataFrame, keep=staged, drop=lambda *tables: None) -> DataFrame:
+    """(node, component) of every node of an edge (a, b), component being the least node of its connected part.
+
+    Large and small stars in turn, until nothing changes; the centre of a star, which may have any share of the edges,
+    is joined by broadcast. keep computes a table once, drop gives up tables that nothing reads any more.
+    """
+    e = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+
+    def mark(t: DataFrame) -> tuple:
+        return tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    was = None
+    while (now := mark(e)) != was:
+        was = now
+        if not now[0]:
+            break
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = relational.join_hot(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # u's larger neighbours
+        large = keep(large.filter("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = relational.join_hot(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        old, e = e, keep(small.filter("u <> v").distinct())
+        drop(old, large)
+    roots = e.groupBy("u").agg(F.min("v").alias("component"))
+    return roots.select(F.col("u").alias("node"), "component").union(roots.select(F.col("component").alias("node"), "component").distinct())
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
