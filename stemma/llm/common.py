@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but these six ASCII white-space characters, as bytes.split() cuts them.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Keys with more than this part of all rows are joined by a broadcast.
-HOT = 2048
-
 _shipped: set[str] = set()
 
 
@@ -48,33 +45,18 @@ def discard(*tables: DataFrame) -> None:
         place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
-    """rows joined with table, which has each key once, where one key may hold any share of rows.
-
-    The keys that hold more than one in HOT of all rows, fewer than HOT of them, are looked up in a broadcast; the
-    others are shuffled, so that no task gets more than that share for one key. counts: (key, count), if known.
-    """
-    counts = rows.groupBy(key).count() if counts is None else counts
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    often = [r[0] for r in counts.filter((F.col("count") > max(total // HOT, 16)) & F.col(key).isNotNull()).select(key).collect()]
-    if not often:
-        return rows.join(table, key, how)
-    is_hot = F.coalesce(F.col(key).isin(often), F.lit(False))
-    return rows.filter(is_hot).join(F.broadcast(table.filter(F.col(key).isin(often))), key, how).unionByName(rows.filter(~is_hot).join(table, key, how))
-
-
 def ship(spark: SparkSession) -> None:
     """Gives executors this package, once per application, so that functions in it need no installation there."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="stemma-ship-"), "stemma_llm.zip")
+    target = os.path.join(tempfile.mkdtemp(prefix="stemma-ship-"), "stemma.zip")
     with zipfile.ZipFile(target, "w") as z:
-        for folder in ("", "llm"):
-            for name in sorted(os.listdir(os.path.join(top, folder))):
+        for folder, _, names in sorted(os.walk(top)):
+            for name in sorted(names):
                 if name.endswith(".py"):
-                    z.write(os.path.join(top, folder, name), os.path.join("stemma", folder, name))
+                    z.write(os.path.join(folder, name), os.path.join("stemma", os.path.relpath(os.path.join(folder, name), top)))
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
 

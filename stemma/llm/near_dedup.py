@@ -36,7 +36,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, join_hot, segments, ship, stage, text_bytes
+from ..operators import graph
+from ..operators.relational import join_hot
+from .common import discard, fresh, segments, ship, stage, text_bytes
 
 WIDTH = 5
 BANDS, ROWS = 40, 5
@@ -275,27 +277,8 @@ def in_blocks(rows: DataFrame, again: bool, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every linked node, root being its component's least node: large and small stars in turn."""
-    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    was = None
-    while (now := mark(edges)) != was:
-        was = now
-        if not now[0]:
-            break
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = join_hot(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # u's larger neighbours
-        large = stage(large.filter("u <> v").distinct(), "cc")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = join_hot(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        old, edges = edges, stage(small.filter("u <> v").distinct(), "cc")
-        discard(old, large)
-    roots = edges.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("node"), "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
+    """(node, root) of every linked node, root being its component's least node."""
+    return graph.components(links, lambda df: stage(df, "cc"), discard).withColumnRenamed("component", "root")
 
 
 def bloom(ids: DataFrame, size: int) -> np.ndarray:

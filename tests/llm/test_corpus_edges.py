@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stemma.llm import chat, common, decontaminate, mixing, near_dedup, pii, quality, queries, secret_scan, sharding, token_output
+from stemma.operators import relational
 
 TABLES = "documents benchmark labels conversations".split()
 
@@ -164,7 +165,7 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     want = sorted(near_dedup.near_duplicates(df).collect())
     for name, value in (("BLOCK", 6), ("SECOND_BLOCK", 3), ("BLOCK_SHINGLES", 400)):
         monkeypatch.setattr(near_dedup, name, value)
-    monkeypatch.setattr(common, "HOT", 8)  # many keys count as hot
+    monkeypatch.setattr(relational, "HOT", 8)  # many keys count as hot
     assert sorted(near_dedup.near_duplicates(df).collect()) == want
 
 
