@@ -33,7 +33,7 @@ from .common import scratch_dir, ship, stage
 BLOCK_IDS = 1 << 18
 #: Bytes of text that are encoded at once.
 PIECE = 6 << 20
-#: Chunks that a worker remembers; then it starts anew.
+#: Pieces that a worker remembers; then it starts anew.
 REMEMBERED = 900_000
 
 #: Ids that are counted at once.
@@ -48,6 +48,10 @@ SPLITTER = {
     ],
 }
 
+#: What may end a chunk of letters and is a piece of its own.
+_ENDS_TEXT = ",.!?;:)|#*$%&"
+_ENDS = frozenset(bytes([b]) for b in _ENDS_TEXT.encode())
+
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
 
 
@@ -75,7 +79,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """Encodes texts as the tokenizer does, one white-space chunk at a time, remembering chunks.
+    """Encodes texts as the tokenizer does, one white-space chunk at a time, remembering their pieces.
 
     Only a tokenizer whose file states NORMALIZER and SPLITTER drops white space and never merges across it; with any
     other, texts are encoded whole. Chunks of printable ASCII and Latin letters are lower-cased, split and mapped to
@@ -104,39 +108,43 @@ class WordEncoder:
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, chunks: list[bytes]) -> None:
-        """Remembers chunks. A piece is remembered too: as a chunk of its own it would be encoded alike."""
+    def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Remembers the pieces of chunks, as a piece is encoded alike wherever it stands, and gives the ids of chunks that are more than one remembered piece."""
         known, made, need, hard, mark = self.known, [], {}, [], self.marked.encode()
         for c in chunks:
-            low = c.lower()
-            if low.isalpha():
-                parts = [low]
-            elif low[:-1].isalpha() and low[-1:] in b",.!?;:)|#*$%&":
-                parts = [low[:-1], low[-1:]]
+            if c.isalpha():  # ASCII letters
+                parts = (c.lower(),)
+            elif c[-1:] in _ENDS and c[:-1].isalpha():
+                parts = (c[:-1].lower(), c[-1:])
             else:
                 text = c.decode()
-                if not self.simple.fullmatch(text) or mark in c and any(s in c for s in self.special):
+                low, end = text.lower(), text[-1:]
+                if low.isalpha() and max(text) <= "ɏ":
+                    parts = (low.encode(),)
+                elif end in _ENDS_TEXT and low[:-1].isalpha() and max(text) <= "ɏ":
+                    parts = (low[:-1].encode(), c[-1:])
+                elif self.simple.fullmatch(text) and not (mark in c and any(s in c for s in self.special)):
+                    parts = [p.encode() for p in self.pieces.findall(low)]
+                else:
                     hard.append(c)
                     continue
-                parts = [p.encode() for p in self.pieces.findall(text.lower())]
-            made.append((c, parts))
+            if len(parts) > 1 or parts[0] != c:
+                made.append((c, parts))
             for p in parts:
                 if p not in known:
                     need[p] = None
-        distinct = list(need)
+        distinct, wide = list(need), np.dtype(self.kind).itemsize
         for at in range(0, len(distinct), 20_000):
             some = distinct[at : at + 20_000]
-            e = self.bare.encode(" ".join(p.decode() if p.isalpha() else p.decode("latin-1").translate(self.letters) for p in some), add_special_tokens=False)
-            flat = np.array(e.ids, self.kind)
-            ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1))
-            for p, a, b in zip(some, ends[:-1].tolist(), ends[1:].tolist()):
-                known[p] = flat[a:b].tobytes()
-        for c, parts in made:
-            if len(parts) > 1 or c != parts[0]:
-                known[c] = b"".join([known[p] for p in parts])
+            e = self.bare.encode(" ".join([p.decode() if p.isalpha() else p.decode("latin-1").translate(self.letters) for p in some]), add_special_tokens=False)
+            data = np.array(e.ids, self.kind).tobytes()
+            ends = (np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1)) * wide).tolist()
+            for i, p in enumerate(some):
+                known[p] = data[ends[i] : ends[i + 1]]
         if hard:
             for c, e in zip(hard, self.whole.encode_batch([c.decode() for c in hard], add_special_tokens=False), strict=True):
                 known[c] = np.array(e.ids, self.kind).tobytes()
+        return {c: b"".join([known[p] for p in parts]) for c, parts in made}
 
     @staticmethod
     def has_marks(texts: pa.Array) -> pa.Array:
@@ -162,10 +170,8 @@ class WordEncoder:
         coded = words.flatten().cast(pa.large_binary()).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         known = self.known
-        missing = [w for w in distinct if w not in known]
-        if missing:
-            self.learn(missing)
-        parts = [known[w] for w in distinct]
+        made = self.learn([w for w in distinct if w not in known])
+        parts = [known[w] if w in known else made[w] for w in distinct]
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(self.kind).itemsize
         flat, codes = np.frombuffer(b"".join(parts), self.kind), coded.indices.to_numpy()
         n = size[codes]
