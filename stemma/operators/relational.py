@@ -6,21 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Keys with more than this part of all rows are joined by a broadcast.
-HOT = 2048
+#: Keys with more than this part of all rows, and more than so many, are joined by a broadcast.
+HOT, MANY = 2048, 1024
 
 
 def join_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """rows joined with table, which has each key once, where one key may hold any share of rows.
 
     The keys that hold more than one in HOT of all rows, fewer than HOT of them, are looked up in a broadcast; the
-    others are shuffled, so that no task gets more than that share for one key. counts: (key, count), if known.
+    others are shuffled, so that no task gets more than that share (or MANY rows) for one key. counts: (key, count), if known.
     """
-    counts = rows.groupBy(key).count() if counts is None else counts
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    often = [r[0] for r in counts.filter((F.col("count") > max(total // HOT, 16)) & F.col(key).isNotNull()).select(key).collect()]
-    if not often:
+    counts = (rows.groupBy(key).count() if counts is None else counts).filter(F.col(key).isNotNull())
+    total, most = counts.agg(F.sum("count"), F.max("count")).first()
+    least = max((total or 0) // HOT, MANY)
+    if (most or 0) <= least:
         return rows.join(table, key, how)
+    often = [r[0] for r in counts.filter(F.col("count") > least).select(key).collect()]
     is_hot = F.coalesce(F.col(key).isin(often), F.lit(False))
     return rows.filter(is_hot).join(F.broadcast(table.filter(F.col(key).isin(often))), key, how).unionByName(rows.filter(~is_hot).join(table, key, how))
 
