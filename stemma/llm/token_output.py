@@ -170,8 +170,12 @@ class WordEncoder:
         coded = words.flatten().cast(pa.large_binary()).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         known = self.known
-        made = self.learn([w for w in distinct if w not in known])
-        parts = [known[w] if w in known else made[w] for w in distinct]
+        parts = list(map(known.get, distinct))
+        new = [i for i, p in enumerate(parts) if p is None]
+        made = self.learn([distinct[i] for i in new])
+        for i in new:
+            w = distinct[i]
+            parts[i] = made[w] if w in made else known[w]
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(self.kind).itemsize
         flat, codes = np.frombuffer(b"".join(parts), self.kind), coded.indices.to_numpy()
         n = size[codes]

@@ -166,6 +166,7 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     for name, value in (("BLOCK", 6), ("SECOND_BLOCK", 3), ("BLOCK_SHINGLES", 400)):
         monkeypatch.setattr(near_dedup, name, value)
     monkeypatch.setattr(relational, "HOT", 8)  # many keys count as hot
+    monkeypatch.setattr(relational, "MANY", 4)
     assert sorted(near_dedup.near_duplicates(df).collect()) == want
 
 
