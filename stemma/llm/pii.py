@@ -157,12 +157,16 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rows = found.select("row", "id").join(grouped, "row", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<k:int,start:bigint,end:bigint,base:boolean>>")))
     base_of = F.filter("s", lambda x: x["base"])
 
+    def held(kind: int) -> Column:
+        """Number of base spans of a kind; a default argument of the lambda would be taken as the place in the array."""
+        return F.size(F.filter("s", lambda x: x["base"] & (x["k"] == kind))).cast("long")
+
     def written(a: Column) -> Column:
         return F.array_join(F.transform(a, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["k"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
     return rows.select(
         F.col("id").alias(key),
-        *[F.size(F.filter("s", lambda x, i=i: x["base"] & (x["k"] == i + 1))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)],
+        *[held(i).alias(f"n_{k}") for i, k in enumerate(KINDS, 1)],
         F.sha2(written(base_of).cast("binary"), 256).alias("base_sha256"),
         written(F.col("s")).alias("spans"),
         F.size(F.filter("s", lambda x: ~x["base"])).cast("long").alias("n_contextual"),

@@ -74,6 +74,14 @@ def test_personal_data_base(spark, sf):
     assert pii.find_personal_data(empty(spark)).count() == 0
 
 
+def test_personal_data_counts_of_each_kind(spark):
+    some = ["a@b.c x@y.z d@e.f", "10.0.0.1, 10.0.0.2 and a@b.c", "4111 1111 1111 1111", "+49 30 1234567 or +49 30 1234568, a@b.c, 10.0.0.1", None, "none"]
+    got = keyed(pii.find_personal_data(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")))
+    for i, t in enumerate(some):
+        kinds = [k for k, *_ in personal(t or "")]
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [kinds.count(k) for k in pii.KINDS], t
+
+
 def test_personal_data_patterns_fuzzed(spark):
     rng = random.Random(3)
     rows = [(i, "".join(rng.choice("ab1 2.3-@+(9_%\n") for _ in range(rng.randint(0, 60)))) for i in range(400)] + [(400, "1" * 5000), (401, "a.b@" * 2000), (402, "a@b" + ".c" * 20_000)]
