@@ -7,23 +7,60 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+
+#: Tokens of a set that are paired with each other at most.
+WIDE = 32
+
 
 def similar_token_sets(df: DataFrame, key: str, tokens: Column, least: float, fewest: int = 1) -> DataFrame:
     """(a, b, similarity): pairs of different token sets with this Jaccard similarity, a and b the least keys of their sets.
 
-    Equal sets count as one. Sets that are similar share one of their rarest tokens (prefix filtering), so only those meet.
+    Equal sets count as one; those that meet are compared in full.
+    """
+    sets = staged(df.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("s")).filter(F.size("s") >= fewest).groupBy("s").agg(F.min("id").alias("id")))
+    full = meetings(sets, least, fewest).join(sets.toDF("sa", "a"), "a").join(sets.toDF("sb", "b"), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return full.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def meetings(sets: DataFrame, least: float, fewest: int) -> DataFrame:
+    """(a, b): pairs of the sets (s, id) among which all similar ones are.
+
+    A set of n tokens shares at least c = ceil(least * n) with a similar one, so their two rarest common tokens are among
+    the rarest n - c + 2 of either, and only sets that share two of those meet. Where one common token may do, or more
+    than WIDE tokens would be paired, sets meet by one of their rarest n - c + 1.
     """
-    sets = df.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("s")).filter(F.size("s") >= fewest).groupBy("s").agg(F.min("id").alias("id"))
     each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("t"))
     rare = each.join(each.groupBy("t").agg(F.count("*").alias("df")), "t")
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
-    head = rare.withColumn("i", place).filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("id", "n", "t")
-    a, b = head.toDF("a", "na", "t"), head.toDF("b", "nb", "t")
-    near = (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9) & (F.col("a") < F.col("b"))
-    met = a.join(b, "t").filter(near).select("a", "b").distinct()
-    full = met.join(sets.toDF("sa", "a"), "a").join(sets.toDF("sb", "b"), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return full.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity")).filter(F.col("similarity") >= least)
+
+    def common(n: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(n * least - 1e-9))
+
+    def wide(n: Column) -> Column:
+        return n - common(n) + 2 > WIDE
+
+    held = rare.withColumn("i", place).filter("df > 1").withColumn("c", common(F.col("n")))
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9
+
+    def meeting(left: DataFrame, right: DataFrame) -> DataFrame:
+        met = left.toDF("a", "na", "k").join(right.toDF("b", "nb", "k"), "k")
+        return met.filter(near & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    head = F.array_sort(F.collect_list(F.struct("i", "t")))
+    two = held.filter((F.col("i") <= F.col("n") - F.col("c") + 2) & ~wide(F.col("n"))).groupBy("id", "n").agg(head.alias("p"))
+    keys = F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.xxhash64(x["t"], y["t"])))
+    paired = two.select("id", "n", F.explode(F.flatten(keys)).alias("k"))
+    a, b = paired.toDF("a", "na", "k"), paired.toDF("b", "nb", "k")
+    met = a.join(b, "k").filter(near & (F.col("a") < F.col("b"))).select("a", "b")
+    one = held.filter(F.col("i") <= F.col("n") - F.col("c") + 1).select("id", "n", "t")
+    if fewest * least - 1e-9 <= 1:
+        small = one.filter(common(F.col("n")) == 1)
+        met = met.union(meeting(small, small))
+    if not sets.filter(wide(F.size("s"))).isEmpty():
+        met = met.union(meeting(one.filter(wide(F.col("n"))), one))
+    return met.distinct()
 
 
 def gatekeep(claims: DataFrame, key: str, cited: str, pool: DataFrame, pool_key: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Every query with SQL against DuckDB, and the graph and score operators against hand values."""
 
+import itertools
 import math
+import random
 
 import duckdb
 import pytest
@@ -206,3 +208,25 @@ def test_similar_sets_and_merged_hits(spark):
     lists = [spark.createDataFrame(rows, "id long, rank int") for rows in ([(1, 1), (2, 2)], [(3, 1), (2, 2)])]
     merged = sorted((r.rank, r.id, r.mode) for r in resolution.merged_hits(*lists, "id", 10).collect())
     assert merged == [(1, 1, "exact"), (2, 2, "exact+fuzzy"), (3, 3, "fuzzy")]
+
+
+@pytest.mark.parametrize("least, fewest, most, words", [(0.4, 3, 6, 25), (0.4, 1, 6, 12), (0.75, 1, 120, 130), (1 / 3, 1, 4, 9)])
+def test_similar_sets_by_brute_force(spark, least, fewest, most, words):
+    """Few and many tokens, wide sets, and sets that one common token makes similar."""
+    r = random.Random(7)
+    rows = [(i, [str(r.randrange(words)) for _ in range(r.randint(0, most))]) for i in range(150)]
+    rows += [(1000 + i, [x for x in t if r.random() < 0.9] + ["z"]) for i, t in rows]
+    sets = {}
+    for i, t in rows:
+        if len(set(t)) >= fewest:
+            sets[frozenset(t)] = min(i, sets.get(frozenset(t), i))
+    want = {(min(x, y), max(x, y), round(len(s & t) / len(s | t), 9)) for (s, x), (t, y) in itertools.combinations(sets.items(), 2) if s & t and len(s & t) / len(s | t) >= least}
+    got = [(x.a, x.b, round(x.similarity, 9)) for x in resolution.similar_token_sets(spark.createDataFrame(rows, "k long, t array<string>"), "k", F.col("t"), least, fewest).collect()]
+    assert want and len(got) == len(want) and set(got) == want
+
+
+def test_few_dissimilar_sets_meet(spark):
+    """Sets of 4 out of 60 tokens, at 0.4: one shared token does not do, so only pairs that share two may meet."""
+    r = random.Random(7)
+    sets = spark.createDataFrame([(r.sample([str(t) for t in range(60)], 4), i) for i in range(1000)], "s array<string>, id long")
+    assert resolution.meetings(sets, 0.4, 3).count() < 25_000  # of 120,000 that share one
