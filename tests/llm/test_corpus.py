@@ -310,6 +310,17 @@ def test_licenses_in_a_list_of_all():
     assert got == {name for name, _ in licenses.TEMPLATES}
 
 
+def test_licenses_only_where_compression_finds_them(monkeypatch):
+    """A template whose dictionary does not shorten a block is not confirmed, however it is worded; capitals and marks don't matter to it."""
+    scanner, text = licenses.Scanner(), "x y\n# ALL RIGHTS RESERVED.\nmore"
+    assert [f["license"] for f in scanner.scan(text)] == ["Proprietary"] and scanner.scan(text)[0]["reduction"] >= licenses.REDUCED
+    words = licenses.tokens("Released under the MIT License. Licensed under CC BY 4.0.")
+    ranked = scanner.candidates(words)
+    assert {scanner.templates[i][0] for _, i, *_ in ranked} >= {"MIT", "CC-BY-4.0"} and [x[0] for x in ranked] == sorted((x[0] for x in ranked), reverse=True)
+    monkeypatch.setattr(scanner, "reduction", lambda block, given: 0.0)
+    assert scanner.scan(text) == []
+
+
 def test_licenses_over_the_edge_of_a_block():
     scanner = licenses.Scanner()
     for n in range(900, 1100):
