@@ -23,7 +23,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stage
+from .common import ship, small_batches, stage
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 ESCAPE = "␛"
@@ -39,7 +38,7 @@ ESCAPE = "␛"
 CONTROL = (TURN, TEXT, END, "<|endoftext|>", "<|im_start|>", "<|im_end|>", "<|eot_id|>", "<|start_header_id|>", "<|end_header_id|>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<s>", "</s>")
 _ESCAPING = re.compile("|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL) + f"|{ESCAPE}")
 #: Ids after which a chunk is written, and words that a worker remembers.
-CHUNK, REMEMBERED = 1 << 16, 400_000
+CHUNK, REMEMBERED = 1 << 16, 1 << 17
 #: How a byte-level tokenizer says that it splits texts, and the words that it then makes.
 SPLITTER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -62,7 +61,7 @@ class Assembler:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.bare = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.tokenizer.model)  # the same vocabulary in memory
         self.bare.encode_special_tokens = True
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         size = self.tokenizer.get_vocab_size()
@@ -79,11 +78,15 @@ class Assembler:
         self.words = words
         said = json.loads(self.tokenizer.to_str())
         self.by_word = said["normalizer"] is None and said["pre_tokenizer"] == SPLITTER and said["model"]["type"] == "BPE"
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<u4").tolist()
+
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit."""
         if not self.by_word:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = _WORD.findall(text)
         if len(self.known) > REMEMBERED:
             self.known.clear()
@@ -91,10 +94,10 @@ class Assembler:
         new = [w for w in dict.fromkeys(parts) if w not in known]
         if new:  # all in one call, as byte letters, which hold no white space
             e = self.bare.encode(" ".join([w.encode().decode("latin-1").translate(self.letters) for w in new]), add_special_tokens=False)
-            ids, ends = e.ids, np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(new) + 1)).tolist()
+            ids, ends = np.array(e.ids, "<u4").tobytes(), (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(new) + 1))).tolist()
             for i, w in enumerate(new):
                 known[w] = ids[ends[i] : ends[i + 1]]
-        return list(chain.from_iterable([known[w] for w in parts]))
+        return b"".join([known[w] for w in parts])
 
 
 _assemblers: dict[str, Assembler] = {}
@@ -113,11 +116,12 @@ def in_order(rows: DataFrame, *keys: str) -> DataFrame:
 def format_chats(rows: DataFrame, tokenizer: str, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: str = "assistant") -> DataFrame:
     """(conv_id, chunk, ids, mask): ids as little-endian 32-bit, mask a byte for each, staged."""
     ship(rows.sparkSession)
+    small_batches(rows.sparkSession)
     kind = rows.schema[conversation].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = assembler(tokenizer)
-        turn_id, text_id, end_id = a.marks[TURN], a.marks[TEXT], a.marks[END]
+        turn_id, text_id, end_id = (a.marks[m].to_bytes(4, "little") for m in (TURN, TEXT, END))
         now, chunk, parts, edges, size, first = None, 0, [], [], 0, True
 
         def close() -> pa.RecordBatch:
@@ -126,7 +130,7 @@ def format_chats(rows: DataFrame, tokenizer: str, conversation: str = "conv_id",
                 step[s] += 1
                 step[e] -= 1
             mask = np.cumsum(step)[:size].astype(np.uint8)
-            return pa.record_batch([pa.array([now], arrow_kind), pa.array([chunk], pa.int64()), pa.array([np.concatenate(parts).astype("<u4").tobytes()], pa.binary()), pa.array([mask.tobytes()], pa.binary())], names=["conv_id", "chunk", "ids", "mask"])
+            return pa.record_batch([pa.array([now], arrow_kind), pa.array([chunk], pa.int64()), pa.array([b"".join(parts)], pa.binary()), pa.array([mask.tobytes()], pa.binary())], names=["conv_id", "chunk", "ids", "mask"])
 
         arrow_kind = None
         for batch in batches:
@@ -136,13 +140,12 @@ def format_chats(rows: DataFrame, tokenizer: str, conversation: str = "conv_id",
                     if size:
                         yield close()
                     now, chunk, parts, edges, size, first = conv, 0, [], [], 0, False
-                head = [turn_id, *a.ids(escape(who or "")), text_id]
-                body = a.ids(escape(said or ""))
-                start = size + len(head)
+                head, body = a.packed(escape(who or "")), a.packed(escape(said or ""))
+                start = size + len(head) // 4 + 2
+                size = start + len(body) // 4 + 1
                 if who == learn and body:
-                    edges.append((start, start + len(body)))
-                parts.append(np.array([*head, *body, end_id], np.uint32))
-                size = start + len(body) + 1
+                    edges.append((start, size - 1))
+                parts += (turn_id, head, text_id, body, end_id)
                 if size >= CHUNK:
                     yield close()
                     chunk, parts, edges, size = chunk + 1, [], [], 0
@@ -156,6 +159,7 @@ def format_chats(rows: DataFrame, tokenizer: str, conversation: str = "conv_id",
 def read_chats(formatted: DataFrame, tokenizer: str) -> DataFrame:
     """Reads the ids back: one row a conversation, with digests of its turns and of what the mask selects."""
     ship(formatted.sparkSession)
+    small_batches(formatted.sparkSession)
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -260,3 +260,21 @@ def test_pipeline(spark, tmp_path):
 def test_pipeline_on_nothing(spark, tmp_path):
     pipeline_tables(spark, tmp_path, [], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_chat_workers_hold_one_vocabulary_and_few_words(spark):
+    a = chat.assembler(queries.tokenizer_file("byte_bpe_50k.json"))
+    words = [f"{a}{b}{c}{d}{e}" for a in "bcdfghjklmnpqrs" for b in "aeiou" for c in "bcdfgklmnp" for d in "aeiouyäöüé" for e in "abcdefghijklmnopqrst"]
+    for at in range(0, len(words), 5000):
+        part = " ".join(words[at : at + 5000])
+        assert a.ids(part) == a.tokenizer.encode(part, add_special_tokens=False).ids
+    assert 0 < len(a.known) <= chat.REMEMBERED + 5000 < len(words)
+    assert all(isinstance(v, bytes) for v in a.known.values())  # a list of numbers takes several times as much
+    rows = spark.createDataFrame([(i, 0, "assistant", "a b c d e f g h i j " * 60) for i in range(4000)], "conv_id long, turn int, role string, text string")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], names=["n"])
+
+    made = chat.format_chats(rows, queries.tokenizer_file("byte_bpe_50k.json"))
+    assert max(r.n for r in made.coalesce(1).select("conv_id", "ids", "mask").mapInArrow(sizes, "n long").collect()) < 6 << 20  # of 12 MB
