@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..operators.relational import join_hot
-from .common import discard, fresh, segments, ship, stage, text_bytes
+from .common import discard, fresh, segments, ship, small_batches, stage, text_bytes
 
 WIDTH = 5
 BANDS, ROWS = 40, 5
@@ -52,6 +52,11 @@ BLOCK, SECOND_BLOCK, BLOCK_SHINGLES, ROUNDS = 2048, 512, 1 << 22, 4
 #: more and more of the others, whose sets are then shuffled for nothing.
 BLOOM = (18, 27)
 
+#: So many links, 16 MB, have their components found on the driver at once; more take jobs of their own in rounds.
+AT_ONCE = 1 << 20
+#: Words whose hashes a worker remembers.
+KNOWN = 1 << 15
+
 _rng = np.random.default_rng(20240607)
 _MULTIPLY = (_rng.integers(0, 1 << 31, SAMPLES, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _ADD = _rng.integers(0, 1 << 32, SAMPLES, np.uint32)[:, None]
@@ -69,7 +74,7 @@ def shingles(text: bytes) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_known) > 400_000:
+    if len(_known) > KNOWN:
         _known.clear()
     try:
         codes = [_known[w] for w in words]
@@ -276,8 +281,26 @@ def in_blocks(rows: DataFrame, again: bool, percent: int) -> DataFrame:
     return rows.repartition("_group").sortWithinPartitions("_group").mapInArrow(run, "a long, b long")
 
 
+def least_nodes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct nodes of links (a, b), and of each the place of the least node that it is linked with over any number of links."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))  # a root takes the least of its neighbours
+        while ((up := root[root]) != root).any():
+            root = up
+        x, y = root[x], root[y]
+        x, y = x[x != y], y[x != y]
+    return nodes, root
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every linked node, root being its component's least node."""
+    """(node, root) of every linked node, root being its component's least node; up to AT_ONCE links meet on the driver."""
+    if links.count() <= AT_ONCE:
+        table = links.toArrow()
+        nodes, root = least_nodes(table["a"].to_numpy(), table["b"].to_numpy())
+        return links.sparkSession.createDataFrame(pa.table({"node": nodes, "root": nodes[root]}), "node long, root long")
     return graph.components(links, lambda df: stage(df, "cc"), discard).withColumnRenamed("component", "root")
 
 
@@ -347,6 +370,7 @@ def grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """(id, h, n, fp, root, component_id, kept) of every row; root is null without shingles."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
+    small_batches(spark)
     sigs = signatures(docs, key, text)
     nodes = stage(sigs.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     rows = nodes.select("fp", F.explode("bands").alias("key"))

@@ -278,3 +278,25 @@ def test_chat_workers_hold_one_vocabulary_and_few_words(spark):
 
     made = chat.format_chats(rows, queries.tokenizer_file("byte_bpe_50k.json"))
     assert max(r.n for r in made.coalesce(1).select("conv_id", "ids", "mask").mapInArrow(sizes, "n long").collect()) < 6 << 20  # of 12 MB
+
+
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch):
+    rng = random.Random(3)
+    chain = [(i, i + 1) for i in range(1, 400)]
+    star = [(5000, 4000 + i) for i in range(300)] + [(4000 + i, 6000 - i) for i in range(300)]
+    links = [(b - 3000, a - 3000) if rng.random() < 0.5 else (a - 3000, b - 3000) for a, b in chain + star + star[:9] + [(7000 + rng.randint(0, 500), 7000 + rng.randint(0, 500)) for _ in range(300)]]
+    links = [(a, b) for a, b in links if a != b]
+    rng.shuffle(links)
+    lead = {n: n for link in links for n in link}
+    while any(lead[a] != lead[b] for a, b in links):
+        for a, b in links:
+            lead[a] = lead[b] = min(lead[a], lead[b])
+    df = common.stage(spark.createDataFrame(links, "a long, b long"), "links")
+    spark.sparkContext.setJobGroup("few", "")
+    assert {(r.node, r.root) for r in near_dedup.components(df).collect()} == set(lead.items())
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setJobGroup("", "")
+    assert 0 < jobs <= 5  # rounds over all partitions take several jobs each
+    assert near_dedup.components(df.limit(0)).count() == 0
+    monkeypatch.setattr(near_dedup, "AT_ONCE", 10)
+    assert {(r.node, r.root) for r in near_dedup.components(df).collect()} == set(lead.items())
