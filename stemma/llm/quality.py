@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, ship, text_bytes
+from .common import fresh, ship, small_batches, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\r\x0b\x0c"
@@ -239,5 +239,6 @@ def report(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text
 
 
 def keep_good(docs: DataFrame, chain: Chain, text: str = "text", least: float = 0.5) -> DataFrame:
+    small_batches(docs.sparkSession)
     rows, v = judge_lines(docs, chain, text, least)
     return rows.filter(F.col(v)["kept"]).select(*docs.columns)

@@ -300,3 +300,17 @@ def test_components_of_few_links_take_few_jobs(spark, monkeypatch):
     assert near_dedup.components(df.limit(0)).count() == 0
     monkeypatch.setattr(near_dedup, "AT_ONCE", 10)
     assert {(r.node, r.root) for r in near_dedup.components(df).collect()} == set(lead.items())
+
+
+def test_pipeline_workers_get_small_batches_and_remember_little(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.lit(" word" * 1200)).alias("text")).coalesce(1)
+    quality.keep_good(docs, quality.DEFAULT)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], names=["n"])
+
+    assert 0 < max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 6 << 20  # of 18 MB
+    for i in range(60):
+        near_dedup.shingles(" ".join(f"{i}-{k}" for k in range(2000)).encode())
+    assert len(near_dedup._known) <= near_dedup.KNOWN + 2000
