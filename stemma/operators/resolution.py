@@ -9,8 +9,25 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import staged
 
-#: Tokens of a set that are paired with each other at most.
-WIDE = 32
+#: Tokens of a set that are taken in threes, or else in twos, at most.
+WIDE = {3: 16, 2: 32}
+#: Sets that one task gets for a token, unless that is less than one in 2,048 of all.
+MANY = 1 << 18
+
+
+def numbered(words: DataFrame) -> DataFrame:
+    """(t, number) of words (t, n): the rarer by n the lower, and below zero where n is 1; int if that will do."""
+    place = F.monotonically_increasing_id()
+    out = staged(words.filter("t is not null").orderBy("n", "t").select("t", F.when(F.col("n") > 1, place).otherwise(-1 - place).alias("number")))
+    low, high = out.agg(F.min("number"), F.max("number")).first()
+    small = low is None or (low >= -(1 << 31) and high < 1 << 31)
+    return out.withColumn("number", F.col("number").cast("int")) if small else out
+
+
+def distinct_sets(df: DataFrame, key: str, tokens: Column, fewest: int) -> DataFrame:
+    """(s, id), computed once: the sets of at least `fewest` tokens, sorted, with their least keys; null is no token."""
+    each = df.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(F.array_compact(tokens))).alias("s"))
+    return staged(each.filter(F.size("s") >= fewest).groupBy("s").agg(F.min("id").alias("id")).filter("id is not null"))
 
 
 def similar_token_sets(df: DataFrame, key: str, tokens: Column, least: float, fewest: int = 1) -> DataFrame:
@@ -18,49 +35,84 @@ def similar_token_sets(df: DataFrame, key: str, tokens: Column, least: float, fe
 
     Equal sets count as one; those that meet are compared in full.
     """
-    sets = staged(df.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("s")).filter(F.size("s") >= fewest).groupBy("s").agg(F.min("id").alias("id")))
-    full = meetings(sets, least, fewest).join(sets.toDF("sa", "a"), "a").join(sets.toDF("sb", "b"), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return full.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity")).filter(F.col("similarity") >= least)
+    sets = distinct_sets(df, key, tokens, fewest)
+    each = sets.select("id", F.explode("s").alias("t"))
+    words = numbered(each.groupBy("t").agg(F.count("*").alias("n")))
+    return similar_sets(staged(each.join(words, "t").groupBy("id").agg(F.collect_list("number").alias("s"))), least, fewest, 0)
+
+
+def similar_number_sets(df: DataFrame, key: str, numbers: Column, least: float, fewest: int = 1) -> DataFrame:
+    """The same where tokens are numbers, the rarer the lower, as by numbered(): what is shuffled is smaller. Numbers below zero count as others do."""
+    return similar_sets(distinct_sets(df, key, numbers, fewest), least, fewest)
+
+
+def similar_sets(sets: DataFrame, least: float, fewest: int, first=None) -> DataFrame:
+    met = meetings(sets, least, fewest, first)
+    return met.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity")).filter(F.col("similarity") >= least)
 
 
-def meetings(sets: DataFrame, least: float, fewest: int) -> DataFrame:
-    """(a, b): pairs of the sets (s, id) among which all similar ones are.
+def meetings(sets: DataFrame, least: float, fewest: int, first=None) -> DataFrame:
+    """(a, b, na, nb, both): pairs of the sets (s, id), once each, among which all similar ones are; their sizes and common tokens.
 
-    A set of n tokens shares at least c = ceil(least * n) with a similar one, so their two rarest common tokens are among
-    the rarest n - c + 2 of either, and only sets that share two of those meet. Where one common token may do, or more
-    than WIDE tokens would be paired, sets meet by one of their rarest n - c + 1.
+    Sets of na and nb tokens are similar if they share m = ceil((na + nb) * least / (1 + least)); they meet by their
+    q = min(3, m) first common tokens, or fewer where more than WIDE would be combined. A set of n tokens shares at least
+    c = ceil(least * n) with a similar one, so these q are among the first n - max(c, q) + q of either. Sets travel once
+    for each token that may be the first, and are combined and compared where they arrive, so no pair is shuffled; a token
+    of more than MANY sets is dealt out by the second. Tokens below `first` have one set each.
     """
-    each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("t"))
-    rare = each.join(each.groupBy("t").agg(F.count("*").alias("df")), "t")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
-
-    def common(n: Column) -> Column:
-        return F.greatest(F.lit(1), F.ceil(n * least - 1e-9))
-
-    def wide(n: Column) -> Column:
-        return n - common(n) + 2 > WIDE
-
-    held = rare.withColumn("i", place).filter("df > 1").withColumn("c", common(F.col("n")))
-    near = F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9
-
-    def meeting(left: DataFrame, right: DataFrame) -> DataFrame:
-        met = left.toDF("a", "na", "k").join(right.toDF("b", "nb", "k"), "k")
-        return met.filter(near & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    head = F.array_sort(F.collect_list(F.struct("i", "t")))
-    two = held.filter((F.col("i") <= F.col("n") - F.col("c") + 2) & ~wide(F.col("n"))).groupBy("id", "n").agg(head.alias("p"))
-    keys = F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.xxhash64(x["t"], y["t"])))
-    paired = two.select("id", "n", F.explode(F.flatten(keys)).alias("k"))
-    a, b = paired.toDF("a", "na", "k"), paired.toDF("b", "nb", "k")
-    met = a.join(b, "k").filter(near & (F.col("a") < F.col("b"))).select("a", "b")
-    one = held.filter(F.col("i") <= F.col("n") - F.col("c") + 1).select("id", "n", "t")
-    if fewest * least - 1e-9 <= 1:
-        small = one.filter(common(F.col("n")) == 1)
-        met = met.union(meeting(small, small))
-    if not sets.filter(wide(F.size("s"))).isEmpty():
-        met = met.union(meeting(one.filter(wide(F.col("n"))), one))
-    return met.distinct()
+    sized = sets.select("id", F.array_sort("s").alias("s"), F.size("s").alias("n"))
+    held = sized.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("k"))
+    most, total = sized.agg(F.max("n"), F.sum("n")).first()
+    often = [r.t for r in held.filter(F.col("k") > max(MANY, (total or 0) // 2048)).collect()]  # fewer than 2,048
+    up_to = {q: max((n for n in range(1, (most or 0) + 1) if n - max(math.ceil(n * least - 1e-9), q) + q <= WIDE[q]), default=0) for q in WIDE}
+
+    def wanted(n: Column, other: Column) -> Column:
+        """Tokens by which sets of these sizes meet."""
+        larger = F.greatest(n, other)
+        cap = F.when(larger <= up_to[3], 3).when(larger <= up_to[2], 2).otherwise(1)
+        return F.least(cap, F.greatest(F.lit(1), F.ceil((n + other) * (least / (1 + least)) - 1e-9)).cast("int"))
+
+    def reach(q: int) -> Column:
+        """Of how many first tokens a set takes q for its keys; 0 if none of its partners meets it by q."""
+        n = F.size("s")
+        own = F.ceil(n * least - 1e-9).cast("int")
+        low, high = F.greatest(F.lit(fewest), own, F.lit(1)), F.least(F.lit(most or 0), F.floor(n / least + 1e-9).cast("int")) if least > 0 else F.lit(most or 0)
+        some = {1: (wanted(n, low) == 1) | (wanted(n, high) == 1), 2: (n <= up_to[2]) & ((wanted(n, low) <= 2) | (high > up_to[3])), 3: wanted(n, F.least(high, F.greatest(n, F.lit(up_to[3])))) == 3}
+        return F.when(some[q], n - F.greatest(F.lit(q), own) + q).otherwise(0)
+
+    lone = F.lit(0) if first is None else F.size(F.filter("s", lambda x: x < first))
+    i = F.array_position("s", F.col("t1")).cast("int")
+    after = {q: F.slice("s", i + 1, F.greatest(F.lit(0), reach(q) - i)) for q in (1, 2, 3)}
+    none = F.lit(None).cast(sized.schema["s"].dataType.elementType)
+    end = F.greatest(*[reach(q) - q for q in after])
+    sent = sized.select("id", "s", lone.alias("i"), end.alias("end")).filter("i <= end")
+    sent = sent.select("id", "s", F.explode(F.slice("s", F.col("i") + 1, F.col("end") - F.col("i") + 1)).alias("t1"))
+    hot, by = F.col("t1").isin(often), ["t1"]
+    if often:
+        sent = sent.withColumn("g", F.explode(F.when(hot, F.concat(F.array(none), F.array_union(after[2], after[3]))).otherwise(F.array(none))))
+        by = ["t1", "g"]
+
+    def key(x: Column, y: Column) -> Column:
+        return F.struct(x.alias("t2"), y.alias("t3"))
+
+    ones = F.when(i <= reach(1), F.array(key(none, none))).otherwise(F.array())
+    twos = F.transform(after[2], lambda x: key(x, none))
+    threes = F.flatten(F.transform(after[3], lambda x, j: F.transform(F.slice(after[3], j + 2, F.size("s")), lambda y: key(x, y))))
+    keys = F.concat(ones, twos, threes)
+    if often:
+        keys = F.when(hot, F.filter(keys, lambda k: k["t2"].eqNullSafe(F.col("g")))).otherwise(keys)
+    keyed = sent.repartition(*by).withColumn("k", F.explode(keys)).select("id", "s", *by, "k.t2", "k.t3")
+    earlier = F.collect_list(F.struct("id", "s")).over(Window.partitionBy(*by, "t2", "t3").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    q = F.when(F.col("t2").isNull(), 1).when(F.col("t3").isNull(), 2).otherwise(3)
+
+    def fits(x: Column) -> Column:
+        n, other = F.size("s"), F.size(x["s"])
+        return (x["id"] < F.col("id")) & (F.least(n, other) >= F.greatest(n, other) * least - 1e-9) & (wanted(n, other) == q)
+
+    found = F.transform(F.filter("met", fits), lambda x: F.struct(x["id"].alias("a"), F.size(x["s"]).alias("na"), F.array_intersect(x["s"], F.col("s")).alias("both")))
+    met = keyed.withColumn("met", earlier).filter(F.size("met") > 0).select("t1", "t2", "t3", F.col("id").alias("b"), F.size("s").alias("nb"), F.explode(found).alias("p"))
+    here = [F.col(t).isNull() | (F.get("p.both", F.lit(k)) == F.col(t)) for k, t in enumerate(("t1", "t2", "t3"))]  # each pair at one of its keys
+    return met.filter(here[0] & here[1] & here[2]).select("p.a", "b", "p.na", "nb", F.size("p.both").alias("both"))
 
 
 def gatekeep(claims: DataFrame, key: str, cited: str, pool: DataFrame, pool_key: str) -> DataFrame:

@@ -197,8 +197,11 @@ _NAMES = "t AS (SELECT l_orderkey, list_sort(list_distinct(list(p_name || p_bran
 @query(f"WITH {_NAMES}, p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS k, len(a.s) + len(b.s) AS n FROM u a JOIN u b ON a.id < b.id AND list_has_any(a.s, b.s)) SELECT a, b, round(k / (n - k)::DOUBLE, 6) AS similarity FROM p WHERE k >= 0.4 * (n - k) - 1e-9")
 def fuzzy_matches(spark, d):
     """Orders whose sets of part names are similar."""
-    named = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).groupBy("l_orderkey").agg(F.collect_set(F.concat("p_name", "p_brand")).alias("s"))
-    return resolution.similar_token_sets(named, "l_orderkey", F.col("s"), 0.4, 3).withColumn("similarity", F.round("similarity", 6))
+    part = table(spark, d, "part").select("p_partkey", F.concat("p_name", "p_brand").alias("t"))
+    words = resolution.numbered(part.groupBy("t").agg(F.count("*").alias("n")))
+    held = table(spark, d, "lineitem").join(part.join(words, "t"), F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "number")
+    named = held.repartition("l_orderkey").groupBy("l_orderkey").agg(F.collect_set("number").alias("s"))  # rows travel without buffers of sets
+    return resolution.similar_number_sets(named, "l_orderkey", F.col("s"), 0.4, 3).withColumn("similarity", F.round("similarity", 6))
 
 
 _PENALTY = "CASE WHEN o = 'R' THEN 2200 WHEN o = 'N' THEN 450 ELSE 0 END"

@@ -232,6 +232,36 @@ def test_few_dissimilar_sets_meet(spark):
     assert resolution.meetings(sets, 0.4, 3).count() < 25_000  # of 120,000 that share one
 
 
+@pytest.mark.parametrize("many, wide", [(1 << 18, {3: 16, 2: 32}), (20, {3: 16, 2: 32}), (20, {3: 4, 2: 6}), (1 << 18, {3: 0, 2: 4})])
+@pytest.mark.parametrize("least, fewest", [(0.4, 3), (0.25, 1), (0.0, 1)])
+def test_similar_sets_by_every_kind_of_key(spark, monkeypatch, least, fewest, many, wide):
+    """Tokens dealt out by the second, and sets that meet by fewer tokens than their partners could; as tokens and as numbers."""
+    monkeypatch.setattr(resolution, "MANY", many)
+    monkeypatch.setattr(resolution, "WIDE", wide)
+    r = random.Random(5)
+    rows = [(i, [r.choice([r.randrange(14), r.randrange(6), r.randrange(200)]) for _ in range(r.randint(0, 10))]) for i in range(160)]
+    sets = {}
+    for i, t in rows:
+        if len(set(t)) >= fewest:
+            sets[frozenset(t)] = min(i, sets.get(frozenset(t), i))
+    want = sorted((min(x, y), max(x, y), round(len(s & t) / len(s | t), 9)) for (s, x), (t, y) in itertools.combinations(sets.items(), 2) if s & t and len(s & t) / len(s | t) >= least)
+    df = spark.createDataFrame(rows, "k long, t array<int>")
+    for got in (resolution.similar_token_sets(df, "k", F.col("t").cast("array<string>"), least, fewest), resolution.similar_number_sets(df, "k", F.col("t"), least, fewest)):
+        assert sorted((x.a, x.b, round(x.similarity, 9)) for x in got.collect()) == want
+
+
+def test_pairs_of_sets_are_not_shuffled(spark, sf):
+    """Similar sets are compared where they meet, by three tokens if they must share three; orders and names travel as numbers."""
+    r = random.Random(7)
+    sets = spark.createDataFrame([(r.sample([str(t) for t in range(60)], 4), i) for i in range(1000)], "s array<string>, id long")
+    met = resolution.meetings(sets, 0.4, 3)
+    assert met.count() < 2_000  # 12,000 share two; three are needed
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    plan = signals.fuzzy_matches(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "p_name" not in plan and "Join" not in plan
+
+
 @pytest.mark.parametrize("most_items, words", [(6, 60), (60, 150)])
 def test_idf_jaccard_by_brute_force(spark, most_items, words):
     """Short lists, and lists beyond graph.LISTED; pairs with one and with several common items."""
