@@ -81,38 +81,37 @@ def meetings(sets: DataFrame, least: float, fewest: int, first=None) -> DataFram
         return F.when(some[q], n - F.greatest(F.lit(q), own) + q).otherwise(0)
 
     lone = F.lit(0) if first is None else F.size(F.filter("s", lambda x: x < first))
-    i = F.array_position("s", F.col("t1")).cast("int")
-    after = {q: F.slice("s", i + 1, F.greatest(F.lit(0), reach(q) - i)) for q in (1, 2, 3)}
     none = F.lit(None).cast(sized.schema["s"].dataType.elementType)
-    end = F.greatest(*[reach(q) - q for q in after])
-    sent = sized.select("id", "s", lone.alias("i"), end.alias("end")).filter("i <= end")
-    sent = sent.select("id", "s", F.explode(F.slice("s", F.col("i") + 1, F.col("end") - F.col("i") + 1)).alias("t1"))
-    hot, by = F.col("t1").isin(often), ["t1"]
-    if often:
-        sent = sent.withColumn("g", F.explode(F.when(hot, F.concat(F.array(none), F.array_union(after[2], after[3]))).otherwise(F.array(none))))
-        by = ["t1", "g"]
+    reaches = [reach(q).alias(f"r{q}") for q in (1, 2, 3)]
+
+    def place(t: str) -> Column:
+        return F.array_position("s", F.col(t)).cast("int")
 
-    def key(x: Column, y: Column) -> Column:
-        return F.struct(x.alias("t2"), y.alias("t3"))
+    def part(after: Column, to: Column) -> Column:
+        return F.slice("s", after + 1, F.greatest(F.lit(0), to - after))
 
-    ones = F.when(i <= reach(1), F.array(key(none, none))).otherwise(F.array())
-    twos = F.transform(after[2], lambda x: key(x, none))
-    threes = F.flatten(F.transform(after[3], lambda x, j: F.transform(F.slice(after[3], j + 2, F.size("s")), lambda y: key(x, y))))
-    keys = F.concat(ones, twos, threes)
+    end = F.greatest(*[reach(q) - q + 1 for q in (1, 2, 3)])
+    sent = sized.select("id", "s", F.explode(part(lone, end)).alias("t1"))
+    hot, by = F.col("t1").isin(often), ["t1"]
     if often:
-        keys = F.when(hot, F.filter(keys, lambda k: k["t2"].eqNullSafe(F.col("g")))).otherwise(keys)
-    keyed = sent.repartition(*by).withColumn("k", F.explode(keys)).select("id", "s", *by, "k.t2", "k.t3")
-    earlier = F.collect_list(F.struct("id", "s")).over(Window.partitionBy(*by, "t2", "t3").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+        seconds = F.concat(F.array(none), part(place("t1"), F.greatest("r2", "r3")))
+        sent = sent.select("*", *reaches).select("id", "s", "t1", F.explode(F.when(hot, seconds).otherwise(F.array(none))).alias("g"))
+        by = ["t1", "g"]
+    came = sent.repartition(*by).select("*", *reaches, place("t1").alias("i"))
+    seconds = F.concat(F.when(F.col("i") <= F.col("r1"), F.array(none)).otherwise(F.array().cast(sized.schema["s"].dataType)), part(F.col("i"), F.greatest("r2", "r3")))
+    second = came.select("id", "s", *by, "r2", "r3", F.explode(F.when(hot, F.filter(seconds, lambda x: x.eqNullSafe(F.col("g")))).otherwise(seconds) if often else seconds).alias("t2"))
+    second = second.withColumn("j", F.coalesce(place("t2"), F.lit(0)))
+    thirds = F.concat(F.when(F.col("j") <= F.col("r2"), F.array(none)).otherwise(F.array().cast(sized.schema["s"].dataType)), part(F.col("j"), F.col("r3")))
+    keyed = second.select("id", "s", *by, "t2", F.explode(F.when(F.col("j") == 0, F.array(none)).otherwise(thirds)).alias("t3"))
+    keyed = keyed.withColumn("h", F.xxhash64("t2", "t3"))  # sorts by one number
+    earlier = F.collect_list(F.struct("id", "s")).over(Window.partitionBy("h", *by, "t2", "t3").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    met = keyed.withColumn("met", earlier).filter(F.size("met") > 0).select("t1", "t2", "t3", "id", "s", F.explode("met").alias("x"))
     q = F.when(F.col("t2").isNull(), 1).when(F.col("t3").isNull(), 2).otherwise(3)
-
-    def fits(x: Column) -> Column:
-        n, other = F.size("s"), F.size(x["s"])
-        return (x["id"] < F.col("id")) & (F.least(n, other) >= F.greatest(n, other) * least - 1e-9) & (wanted(n, other) == q)
-
-    found = F.transform(F.filter("met", fits), lambda x: F.struct(x["id"].alias("a"), F.size(x["s"]).alias("na"), F.array_intersect(x["s"], F.col("s")).alias("both")))
-    met = keyed.withColumn("met", earlier).filter(F.size("met") > 0).select("t1", "t2", "t3", F.col("id").alias("b"), F.size("s").alias("nb"), F.explode(found).alias("p"))
-    here = [F.col(t).isNull() | (F.get("p.both", F.lit(k)) == F.col(t)) for k, t in enumerate(("t1", "t2", "t3"))]  # each pair at one of its keys
-    return met.filter(here[0] & here[1] & here[2]).select("p.a", "b", "p.na", "nb", F.size("p.both").alias("both"))
+    na, nb = F.size("x.s"), F.size("s")
+    fit = met.filter((F.col("x.id") < F.col("id")) & (F.least(na, nb) >= F.greatest(na, nb) * least - 1e-9) & (wanted(na, nb) == q))
+    pairs = fit.select("t1", "t2", "t3", F.col("x.id").alias("a"), F.col("id").alias("b"), na.alias("na"), nb.alias("nb"), F.explode(F.array(F.array_intersect("x.s", "s"))).alias("both"))
+    here = [F.col(t).isNull() | (F.get("both", F.lit(k)) == F.col(t)) for k, t in enumerate(("t1", "t2", "t3"))]  # each pair at one of its keys
+    return pairs.filter(here[0] & here[1] & here[2]).select("a", "b", "na", "nb", F.size("both").alias("both"))
 
 
 def gatekeep(claims: DataFrame, key: str, cited: str, pool: DataFrame, pool_key: str) -> DataFrame:
